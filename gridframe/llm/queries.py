@@ -4,19 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import op7_decontaminate
+from . import op1_pack, op3_quality, op7_decontaminate, op10_toxicity
 from .shared import table
 
 
+def held_out(mod: int, rest: int) -> Column:
+    """Rows kept from training: crc32 of the id as text leaves ``rest`` modulo ``mod``; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % mod == rest, F.lit(False))
+
+
+def op1_pack_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_pack.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = op3_quality.train(docs, table(spark, sf_dir, "labels"), learn=~held_out(4, 2))
+    out = op3_quality.scored(docs, model)
+    return out.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = op10_toxicity.train(docs, table(spark, sf_dir, "labels"), learn=~held_out(5, 0))
+    out = op10_toxicity.scored(docs, model)
+    return out.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op7_decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return op7_decontaminate.report(rows.select("doc_id", "n_words", "runs", "items")).drop("items")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_decontaminate": op7_decontaminate_query}
+    return {
+        "op1_pack": op1_pack_query,
+        "op3_quality": op3_quality_query,
+        "op7_decontaminate": op7_decontaminate_query,
+        "op10_toxicity": op10_toxicity_query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
