@@ -1,12 +1,13 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams (3 to 5 bytes, with word ends
-marked) hashed to ``buckets`` rows of an embedding; a word's vector is their
-mean, so an unseen misspelling still shares most of its vector.  Vectors are
-averaged over every ``SPAN`` consecutive words and go into a linear softmax of
-two classes; the text's score is that of its most toxic span, so a long text
-does not dilute a passage.  Embedding and softmax are trained together by Adam;
-the gradient of a text flows through its most toxic span.
+marked) hashed to ``buckets`` rows of an embedding.  The average of the bag goes
+into a linear softmax of two classes, so an unseen misspelling still shares
+most of its word's vector.  The softmax odds of a text's words are added up
+(multiple-instance learning: a text is toxic because of some of its words), so
+a long text does not dilute a few words.  Embedding and softmax are trained
+together by Adam with weight decay; a text's gradient is shared among its words
+in proportion to their odds.
 
 As everything up to the softmax is linear, scoring needs just one number per
 bucket: the difference of its two logits.
@@ -33,10 +34,12 @@ from .op3_quality import chosen
 
 SAMPLE = 3000
 SAMPLE_BYTES = 12_000
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 DIM = 8
-SPAN = 4
-STEPS = 60
+STEPS = 50
+RATE = 0.05
+DECAY = 0.01
+BIAS = -9.0  # log odds of a word to begin with
 NGRAMS = (3, 4, 5)
 
 
@@ -75,63 +78,58 @@ class Bags:
         total = np.append(0.0, np.cumsum(of_bucket[self.grams]))
         return (total[self.start[1:]] - total[self.start[:-1]]) / np.maximum(self.count, 1)
 
-    def spans(self, of_bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each text: the highest mean of a span, the span's first word and its length (0 without words)."""
-        total = np.append(0.0, np.cumsum(self.word_scores(of_bucket)[self.word]))
+    def pooled(self, of_bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: the log of its words' summed odds (0 without words); which text and what share of its odds each word has."""
+        s = self.word_scores(of_bucket)[self.word]
         n = np.diff(self.first)
-        length = np.minimum(n, SPAN)
-        count = np.where(n > 0, n - length + 1, 0)
-        start, size = t.ranges(self.first[:-1], count), np.repeat(length, count)
-        mean = (total[start + size] - total[start]) / np.maximum(size, 1)
-        best, where = np.zeros(len(n)), np.zeros(len(n), np.int64)
-        has = np.flatnonzero(count)
-        if len(has):
-            at = (np.cumsum(count) - count)[has]
-            best[has] = np.maximum.reduceat(mean, at)
-            hit = np.flatnonzero(mean == np.repeat(best, count))
-            text = np.repeat(np.arange(len(n)), count)[hit]
-            text, one = np.unique(text, return_index=True)
-            where[text] = start[hit[one]]
-        return best, where, length
+        has = np.flatnonzero(n)
+        text = np.repeat(np.arange(len(n)), n)
+        out = np.zeros(len(n))
+        if not len(has):
+            return out, text, s
+        most, total = np.zeros(len(n)), np.ones(len(n))
+        most[has] = np.maximum.reduceat(s, self.first[has])
+        s = np.exp(s - most[text])
+        total[has] = np.add.reduceat(s, self.first[has])
+        out[has] = most[has] + np.log(total[has])
+        return out, text, s / total[text]
 
 
 class Model:
-    def __init__(self, bags: Bags | None, y: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, steps: int = STEPS, rate: float = 0.05):
+    def __init__(self, bags: Bags | None, y: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, steps: int = STEPS):
         share = float(y.mean()) if len(y) else 0.0
-        self.bias, self.of_bucket = 0.0, np.zeros(buckets)
+        self.bias, self.of_bucket = BIAS, np.zeros(buckets)
         self.constant = share if share in (0.0, 1.0) else None
         if self.constant is not None:
             return
+        used, grams = np.unique(bags.grams, return_inverse=True)
+        known = Bags.__new__(Bags)  # the same bags, over the buckets in use
+        known.word, known.first, known.grams, known.start, known.count = bags.word, bags.first, grams, bags.start, bags.count
         rng = np.random.default_rng(7)
-        e, v = rng.normal(0, 0.05, (buckets, dim)), rng.normal(0, 0.5, (dim, 2))
-        bias = np.array([0.0, -2.0])
+        e, v, bias = rng.normal(0, 0.05, (len(used), dim)), rng.normal(0, 0.5, (dim, 2)), np.array([0.0, BIAS])
         params = [e, v, bias]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-        weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / len(y)
+        weight = np.where(y > 0, share**-0.5, (1 - share) ** -0.5)
+        weight /= weight.sum()
         for step in range(1, steps + 1):
-            of_bucket = e @ (v[:, 1] - v[:, 0])
-            best, where, length = bags.spans(of_bucket)
-            p = 1 / (1 + np.exp(-(best + bias[1] - bias[0])))
-            g = (p - y) * weight
-            words = bags.word[t.ranges(where, length)]
-            per_word = np.bincount(words, np.repeat(g / np.maximum(length, 1), length), len(bags.count))
-            touched = np.flatnonzero(per_word)
-            count = bags.count[touched]
-            grams = bags.grams[t.ranges(bags.start[touched], count)]
-            gs = np.bincount(grams, np.repeat(per_word[touched] / np.maximum(count, 1), count), buckets)
             d = v[:, 1] - v[:, 0]
+            logit, text, part = known.pooled(e @ d)
+            g = (1 / (1 + np.exp(-(logit + bias[1] - bias[0]))) - y) * weight
+            per_word = np.bincount(known.word, g[text] * part, len(known.count)) / np.maximum(known.count, 1)
+            gs = np.bincount(grams, np.repeat(per_word, known.count), len(used))
             gv = e.T @ gs
-            grads = [np.outer(gs, d) + 1e-7 * e, np.column_stack([-gv, gv]), np.array([-g.sum(), g.sum()])]
-            for q, (p_, (m, s), grad) in enumerate(zip(params, moments, grads, strict=True)):
+            grads = [np.outer(gs, d), np.column_stack([-gv, gv]), np.array([-g.sum(), g.sum()])]
+            for p, (m, s), grad in zip(params, moments, grads, strict=True):
                 m += 0.1 * (grad - m)
                 s += 0.01 * (grad**2 - s)
-                p_ -= rate * (1.0 if q else 0.6) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-        self.of_bucket, self.bias = e @ (v[:, 1] - v[:, 0]), float(bias[1] - bias[0])
+                p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
+            e *= 1 - DECAY
+        self.of_bucket[used], self.bias = e @ (v[:, 1] - v[:, 0]), float(bias[1] - bias[0])
 
     def score(self, bags: Bags) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(bags.first) - 1, self.constant)
-        return 1 / (1 + np.exp(-(bags.spans(self.of_bucket)[0] + self.bias)))
+        return 1 / (1 + np.exp(-(bags.pooled(self.of_bucket)[0] + self.bias)))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, learn: Column, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
