@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_pack, op3_quality, op7_decontaminate, op10_toxicity
+from . import op1_pack, op3_quality, op7_decontaminate, op8_pii, op10_toxicity
 from .shared import table
 
 
@@ -27,6 +27,21 @@ def op3_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def _listed(spans: str) -> Column:
+    kinds = F.array(*map(F.lit, op8_pii.KINDS))
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", kinds[x["kind"]], x["start"], x["end"])), ",")
+
+
+def op8_pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op8_pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("base_spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{op8_pii.KINDS[k]}")
+
+    counts = [count(k) for k in range(len(op8_pii.KINDS))]
+    return out.select("doc_id", *counts, F.sha2(_listed("base_spans"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+
+
 def op10_toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = op10_toxicity.train(docs, table(spark, sf_dir, "labels"), learn=~held_out(5, 0))
@@ -44,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pack": op1_pack_query,
         "op3_quality": op3_quality_query,
         "op7_decontaminate": op7_decontaminate_query,
+        "op8_pii": op8_pii_query,
         "op10_toxicity": op10_toxicity_query,
     }
 
