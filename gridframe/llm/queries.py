@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_pack, op3_quality, op7_decontaminate, op8_pii, op10_toxicity
+from . import op1_pack, op3_quality, op4_jaccard, op7_decontaminate, op8_pii, op10_toxicity
 from .shared import table
 
 
@@ -49,6 +49,10 @@ def op10_toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op7_decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return op7_decontaminate.report(rows.select("doc_id", "n_words", "runs", "items")).drop("items")
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack": op1_pack_query,
         "op3_quality": op3_quality_query,
+        "op4_jaccard": op4_jaccard_query,
         "op7_decontaminate": op7_decontaminate_query,
         "op8_pii": op8_pii_query,
         "op10_toxicity": op10_toxicity_query,
