@@ -43,6 +43,7 @@ SKETCH_BITS = 18
 BLOCK = 1 << 12  # counters in a row of the sketch
 NEEDED_BITS = 22
 HOT = 20_000  # documents of a shingle that one task compares at once
+GROUP = 2000  # partners that one set is verified with in a task
 SPREAD = 256  # parts that the entries of such a shingle are dealt to
 
 
@@ -229,25 +230,35 @@ def _across(postings: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, start in _groups(batches, "cell"):
-            lead = [np.maximum(1, x["pos"] + 1 - (x["n"] - o(x["n"]))) for o in (overlap_longer, overlap_shorter)]
-            for a, b in zip(start, np.append(start[1:], len(x["cell"])), strict=True):
-                comp, k, n, m = (x[c][a:b] for c in ("comp", "k1", "n", "m"))
-                other = x["block"][a:b]
-                first = np.flatnonzero(np.append(True, comp[1:] != comp[:-1]))
-                for f, l in zip(first[:-1], first[1:], strict=True):  # noqa: E741
-                    # entries of one component against those of later ones, some rows at a time
-                    step = max(1, 1_000_000 // max(1, b - a - l))
-                    for lo in range(f, l, step):
-                        i, j = np.arange(lo, min(l, lo + step))[:, None], np.arange(l, b - a)[None, :]
-                        swap = (n[i] < n[j]) | ((n[i] == n[j]) & (k[i] < k[j]))
-                        big, small = np.where(swap, j, i), np.where(swap, i, j)
-                        ok = (4 * n[small] >= 3 * n[big]) & (lead[0][a + big] <= m[big]) & (lead[1][a + small] <= m[big]) & ((other[big] != other[small]) | (other.min() == other.max()))
-                        if ok.any():
-                            big, small = big[ok], small[ok]
-                            yield pa.RecordBatch.from_pydict({"x": pa.array(k[big]), "y": pa.array(k[small]), "m": pa.array(m[big])})
-
-    pairs = rows.mapInArrow(run, "x long, y long, m long")
-    return pairs.groupBy("x", "y").agg(F.count("*").alias("got"), F.max("m").alias("m")).where("got >= m").select("x", "y")
+            comp, k, n, m, pos, other = (x[c] for c in ("comp", "k1", "n", "m", "pos", "block"))
+            lead = [np.maximum(1, pos + 1 - (n - o(n))) for o in (overlap_longer, overlap_shorter)]
+            end = np.append(start[1:], len(comp))
+            mixed = np.minimum.reduceat(other, start) != np.maximum.reduceat(other, start)
+            # entries of one component are neighbours: each entry meets those after its component's last
+            last = np.append(np.flatnonzero((comp[1:] != comp[:-1]) | (x["cell"][1:] != x["cell"][:-1])) + 1, len(comp))
+            run_of = np.searchsorted(last, np.arange(len(comp)), "right")
+            cell_of = np.repeat(np.arange(len(start)), end - start)
+            count = end[cell_of] - last[run_of]
+            total = np.append(0, np.cumsum(count))
+            lo = 0
+            while lo < len(comp):
+                hi = max(lo + 1, int(np.searchsorted(total, total[lo] + 1_000_000, "right")) - 1)
+                i = np.repeat(np.arange(lo, hi), count[lo:hi])
+                j = t.ranges(last[run_of[lo:hi]], count[lo:hi])
+                swap = (n[i] < n[j]) | ((n[i] == n[j]) & (k[i] < k[j]))
+                big, small = np.where(swap, j, i), np.where(swap, i, j)
+                ok = (4 * n[small] >= 3 * n[big]) & (lead[0][big] <= m[big]) & (lead[1][small] <= m[big]) & ((other[big] != other[small]) | ~mixed[cell_of[big]])
+                if ok.any():
+                    big, small = big[ok], small[ok]
+                    yield pa.RecordBatch.from_pydict({"x": pa.array(k[big]), "y": pa.array(k[small]), "m": pa.array(m[big]), "nx": pa.array(n[big]), "ny": pa.array(n[small]), "px": pa.array(pos[big]), "py": pa.array(pos[small])})
+                lo = hi
+
+    pairs = rows.mapInArrow(run, "x long, y long, m long, nx long, ny long, px int, py int")
+    pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("got"), *(F.max(c).alias(c) for c in ("m", "nx", "ny", "px", "py"))).where("got >= m")
+    # what may still be shared: nothing up to the earlier prefix's end but what was found, nothing before the last found
+    rest_x, rest_y = F.expr("nx - least(nx, nx - ceil(3 * nx / 4) + m)"), F.expr("ny - least(ny, ny - ceil(6 * ny / 7) + m)")
+    most = F.col("got") + F.least(F.greatest(rest_x, rest_y), F.expr("nx - px - 1"), F.expr("ny - py - 1"))
+    return pairs.where(7 * most >= 3 * (F.col("nx") + F.col("ny"))).select("x", "y")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
@@ -266,28 +277,35 @@ def verified(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
             if len(on):
                 yield pa.RecordBatch.from_pydict({"k1": pa.array(s.key1[on]), "k2": pa.array(s.key2[on]), "set": pa.array([s.hash[s.first[i] : s.first[i + 1]].tobytes() for i in on], pa.binary())})
 
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("k1")).distinct()
-    # each set once: its first row of every partition came here
-    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(sets, "k1 long, k2 long, set binary").join(wanted, "k1").groupBy("k1", "k2").agg(F.first("set").alias("set"))
-    found = stored(found, "sets")
-    a = found.select(F.col("k1").alias("x"), F.col("k2").alias("x2"), F.col("set").alias("sx"))
-    b = found.select(F.col("k1").alias("y"), F.col("k2").alias("y2"), F.col("set").alias("sy"))
-    both = pairs.join(a.hint("shuffle_merge"), "x").join(b.hint("shuffle_merge"), "y").select("x", "x2", "y", "y2", "sx", "sy")
+    # each y is sent once to every group of up to GROUP of its partners, and each x once for each partner
+    pairs = pairs.join(pairs.groupBy("y").agg(F.ceil(F.count("*") / GROUP).alias("parts")), "y").withColumn("part", F.pmod(F.xxhash64("x"), "parts"))
+    roles = pairs.select(F.col("x").alias("k1"), F.xxhash64("y", "part").alias("team"), "y", F.lit(1).alias("turn"))
+    roles = roles.union(pairs.select(F.col("y").alias("k1"), F.xxhash64("y", "part"), "y", F.lit(0)).distinct())
+    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(sets, "k1 long, k2 long, set binary")
+    teams = found.join(roles.hint("shuffle_merge"), "k1").select("team", "turn", "y", "k1", "k2", "set").repartition(partitions(spark), "team").sortWithinPartitions("team", "y", "turn")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, heads = None, {}  # sets whose first digest is y: one, unless first digests clash
         for batch in batches:
-            ok = []
-            for p, q in zip(batch.column("sx"), batch.column("sy"), strict=True):
-                p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= 75 * (len(p) + len(q) - both))
-            yield batch.select(["x", "x2", "y", "y2"]).filter(pa.array(ok, pa.bool_()))
-
-    links = both.mapInArrow(check, "x long, x2 long, y long, y2 long")
+            out = []
+            team, turn, ys, k1, k2 = (batch.column(c).to_pylist() for c in ("team", "turn", "y", "k1", "k2"))
+            for r, cell in enumerate(batch.column("set")):
+                if y != (team[r], ys[r]):
+                    y, heads = (team[r], ys[r]), {}
+                p = np.frombuffer(cell.as_buffer(), np.uint64)
+                if turn[r] == 0:
+                    heads[k2[r]] = p
+                else:
+                    for two, q in heads.items():
+                        both = len(np.intersect1d(p, q, assume_unique=True)) if 4 * min(len(p), len(q)) >= 3 * max(len(p), len(q)) else 0
+                        if 100 * both >= 75 * (len(p) + len(q) - both):
+                            out.append((k1[r], k2[r], ys[r], two))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["x", "x2", "y", "y2"])
+
+    links = teams.mapInArrow(check, "x long, x2 long, y long, y2 long")
     node = lambda p, q: F.concat(F.lpad(F.hex(p), 16, "0"), F.lpad(F.hex(q), 16, "0"))
-    out = stored(links.select(node("x", "x2").alias("a"), node("y", "y2").alias("b")), "links")
-    discard(found)
-    return out
+    return stored(links.select(node("x", "x2").alias("a"), node("y", "y2").alias("b")).distinct(), "links")
 
 
 def _first_digest(node: F.Column) -> F.Column:
@@ -299,10 +317,12 @@ def _first_digest(node: F.Column) -> F.Column:
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     counts = sketch(docs, text)
-    signature = stored(signatures(docs, doc_id, text, counts), "signature")
-    postings = stored(_shared_postings(signature), "postings")
-    # the pivot that shares most prefix shingles with each set
-    star = postings.where("k1 <> pivot and 4 * least(n, pivot_n) >= 3 * greatest(n, pivot_n)").groupBy("k1", "pivot").agg(F.count("*").alias("got"))
+    full = stored(signatures(docs, doc_id, text, counts), "signature")
+    postings = stored(_shared_postings(full), "postings")
+    signature = stored(full.select("doc_id", "n", "k1", "k2"), "signature")
+    discard(full)
+    # the pivot that shares most prefix shingles with each set, if it shares a fair part: that many groups of copies do
+    star = postings.where("k1 <> pivot and 4 * least(n, pivot_n) >= 3 * greatest(n, pivot_n)").groupBy("k1", "pivot").agg(F.count("*").alias("got"), F.max("n").alias("n")).where("16 * got >= n")
     star = stored(star.groupBy("k1").agg(F.max(F.struct("got", "pivot")).alias("best")).select(F.col("k1").alias("x"), F.col("best.pivot").alias("y")), "star")
     links = verified(docs, star, text)
     comp = components(links)

@@ -25,6 +25,8 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: a lost executor costs no earlier stage."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    # shuffle files go once the driver's garbage that refers to them is collected; earlier steps' are of no use any more
+    spark.sparkContext._jvm.System.gc()
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
