@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_pack, op3_quality, op4_jaccard, op7_decontaminate, op8_pii, op10_toxicity
+from . import op1_pack, op2_repeats, op3_quality, op4_jaccard, op7_decontaminate, op8_pii, op10_toxicity
 from .shared import table
 
 
@@ -20,6 +20,12 @@ def op1_pack_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_pack.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op2_repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", (F.length("kept") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = op3_quality.train(docs, table(spark, sf_dir, "labels"), learn=~held_out(4, 2))
@@ -61,6 +67,7 @@ def op7_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack": op1_pack_query,
+        "op2_repeats": op2_repeats_query,
         "op3_quality": op3_quality_query,
         "op4_jaccard": op4_jaccard_query,
         "op7_decontaminate": op7_decontaminate_query,
