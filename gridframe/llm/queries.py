@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_pack, op2_repeats, op3_quality, op4_jaccard, op7_decontaminate, op8_pii, op10_toxicity
+from . import op1_pack, op2_repeats, op3_quality, op4_jaccard, op5_tokens, op6_secrets, op7_decontaminate, op8_pii, op9_search, op10_toxicity
 from .shared import table
 
 
@@ -48,6 +48,10 @@ def op8_pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(_listed("base_spans"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
 
 
+def op9_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_search.search(table(spark, sf_dir, "documents"), is_query=F.col("doc_id") % 20 == 0)
+
+
 def op10_toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = op10_toxicity.train(docs, table(spark, sf_dir, "labels"), learn=~held_out(5, 0))
@@ -59,6 +63,14 @@ def op4_jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_tokens_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op6_secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op7_decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return op7_decontaminate.report(rows.select("doc_id", "n_words", "runs", "items")).drop("items")
@@ -70,8 +82,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_repeats": op2_repeats_query,
         "op3_quality": op3_quality_query,
         "op4_jaccard": op4_jaccard_query,
+        "op5_tokens": op5_tokens_query,
+        "op6_secrets": op6_secrets_query,
         "op7_decontaminate": op7_decontaminate_query,
         "op8_pii": op8_pii_query,
+        "op9_search": op9_search_query,
         "op10_toxicity": op10_toxicity_query,
     }
 
