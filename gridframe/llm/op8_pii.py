@@ -387,3 +387,26 @@ def scan(docs: DataFrame, *, text: str = "text", spans: str = "spans", base: str
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     item = "array<struct<start:bigint,kind:int,end:bigint>>"
     return docs.mapInArrow(run, f"{kept}, `{spans}` {item}, `{base}` {item}")
+
+
+def masked(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """``docs`` with every span of ``text`` replaced by its kind in brackets; of overlapping spans, the first's kind."""
+    columns = docs.columns
+    out = scan(docs, text=text, spans="_spans", base="_base")
+    k = columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(k).to_pylist()
+            for i, spans in enumerate(batch.column("_spans").to_pylist()):
+                if spans:
+                    parts, at = [], 0
+                    for s in spans:
+                        if s["start"] >= at:
+                            parts += [values[i][at : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
+                        at = max(at, s["end"])
+                    values[i] = "".join(parts) + values[i][at:]
+            new = pa.array(values, batch.column(k).type)
+            yield pa.RecordBatch.from_arrays([new if n == text else batch.column(n) for n in columns], names=columns)
+
+    return out.mapInArrow(run, docs.schema)

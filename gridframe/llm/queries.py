@@ -76,6 +76,12 @@ def op7_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_decontaminate.report(rows.select("doc_id", "n_words", "runs", "items")).drop("items")
 
 
+def pipeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack": op1_pack_query,
@@ -88,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii_query,
         "op9_search": op9_search_query,
         "op10_toxicity": op10_toxicity_query,
+        "pipeline": pipeline_query,
     }
 
 
