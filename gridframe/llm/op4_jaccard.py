@@ -9,8 +9,8 @@ which it is the longer: from its own tokens' estimated posting lengths, a longer
 prefix costs more probes but leaves fewer candidates to verify.
 
 Links are found without listing the pairs of a group.  Documents of one set
-are one node.  First every node is verified against one other only, the least
-node that it shares most prefix shingles with; this joins groups of copies.
+are one node.  First, a few times, every node is verified against one other only, a
+pivot that it shares most prefix shingles with; this joins groups of copies.
 Then pairs that share enough prefix shingles are verified, but only across
 components: shingles inside one component are dropped, and within a shingle no
 pair of one component is made.  Components are what the links define, so no
@@ -26,6 +26,7 @@ sets by 128 bits.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,9 @@ from .shared import discard, partitions, stored
 
 SHINGLE = 5
 MOST_MATCHES = 4  # the largest L
-SKETCH_BITS = 18
-BLOCK = 1 << 12  # counters in a row of the sketch
+ROUNDS = 3  # of joining groups of copies by pivots, before pairs across components
+SKETCH_BITS = 22
+BLOCK = 1 << 18  # counters in a row of the sketch
 NEEDED_BITS = 22
 HOT = 20_000  # documents of a shingle that one task compares at once
 GROUP = 2000  # partners that one set is verified with in a task
@@ -100,16 +102,19 @@ def sketch(docs: DataFrame, text: str) -> np.ndarray:
                 total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         rows = total.reshape(-1, BLOCK)
         on = np.flatnonzero(rows.any(1))
-        yield pa.RecordBatch.from_pydict({"block": pa.array(on, pa.int32()), "counts": pa.array([rows[k].astype(np.uint32).tobytes() for k in on], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"block": pa.array(on, pa.int32()), "counts": pa.array([zlib.compress(rows[k].astype(np.uint32).tobytes(), 1) for k in on], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in table.column("counts"))
-        return pa.table({"block": table.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros(BLOCK, np.int64)
+        for x in table.column("counts"):
+            total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+        total = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
+        return pa.table({"block": table.column("block")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    out = np.zeros((1 << SKETCH_BITS) // BLOCK * BLOCK, np.int64).reshape(-1, BLOCK)
+    out = np.zeros(1 << SKETCH_BITS, np.uint32).reshape(-1, BLOCK)
     for r in rows:
-        out[r.block] = np.frombuffer(r.counts, np.int64)
+        out[r.block] = np.frombuffer(zlib.decompress(r.counts), np.uint32)
     return out.ravel()
 
 
@@ -141,16 +146,15 @@ def choose_matches(n: int, posting: np.ndarray) -> int:
 def signatures(docs: DataFrame, doc_id: str, text: str, counts: np.ndarray) -> DataFrame:
     """Per row: id, set size, digests, L, the prefix (only at a set's first row in each partition) and the places in it
     of shingles that very many sets are estimated to hold."""
-    rank = np.minimum(counts, (1 << 32) - 1)
-    mean = counts.mean()
-    surplus = np.maximum(0, counts - mean - 4 * np.sqrt(mean) - 1)
-    shared = docs.sparkSession.sparkContext.broadcast((rank, surplus))
+    mean = float(counts.mean())
+    noise = mean + 4 * mean**0.5 + 1
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, surplus = shared.value
+        rank = shared.value
         seen: set[tuple[int, int]] = set()
         for part, s in _batches(batches, "text", rank):
-            posting = surplus[(s.hash >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            posting = np.maximum(0, rank[(s.hash >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] - noise)
             has = np.append(0, np.cumsum(posting > 0))
             matches = np.ones(len(s.size), np.int64)
             for i in np.flatnonzero((has[s.first[1:]] > has[s.first[:-1]]) & (s.size > 0)):
@@ -163,7 +167,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, counts: np.ndarray) -> D
             values = s.hash[t.ranges(s.first[:-1], length)].view(np.int64)
             prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(values))
             place = t.ranges(np.zeros(len(length), np.int64), length)
-            is_hot = surplus[(values.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > HOT
+            is_hot = rank[(values.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > HOT + noise
             ends = np.append(0, np.cumsum(is_hot))[np.append(0, np.cumsum(length))]
             hot = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[is_hot], pa.int32()))
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n": pa.array(s.size), "k1": pa.array(s.key1), "k2": pa.array(s.key2), "m": pa.array(matches), "prefix": prefix, "hot": hot})
@@ -193,9 +197,9 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str, most: int | None = None
 
 
 def _shared_postings(signature: DataFrame) -> DataFrame:
-    """Entries of the shingles that at least two sets have in their prefixes, with the least such set (``pivot``)."""
+    """Entries of the shingles that at least two sets have in their prefixes."""
     rows = signature.where("n > 0").select("k1", "n", "m", "hot", F.posexplode("prefix").alias("pos", "token"))
-    # a shingle that very many sets hold is dealt out further; that only affects which pivot a set gets
+    # a shingle that very many sets hold is dealt out further and kept whatever a part of its entries shows
     rows = rows.withColumn("hot", F.array_contains("hot", F.col("pos")))
     rows = rows.withColumn("cell", F.when(F.col("hot"), F.xxhash64("token", F.pmod("k1", F.lit(SPREAD)))).otherwise(F.col("token")))
     rows = rows.repartition(partitions(signature.sparkSession), "cell").sortWithinPartitions("cell", "k1")
@@ -210,10 +214,9 @@ def _shared_postings(signature: DataFrame) -> DataFrame:
                 count[[0, -1]] += 2
             keep = ~twin & ((count[group] > 1) | x["hot"])
             if keep.any():
-                out = {n: x[n][keep] for n in ("token", "k1", "n", "m", "pos")} | {"pivot": k1[start][group][keep], "pivot_n": x["n"][start][group][keep]}
-                yield pa.RecordBatch.from_pydict({n: pa.array(v) for n, v in out.items()})
+                yield pa.RecordBatch.from_pydict({n: pa.array(x[n][keep]) for n in ("token", "k1", "n", "m", "pos")})
 
-    return rows.select("cell", "token", "k1", "n", "m", "pos", "hot").mapInArrow(run, "token long, k1 long, n long, m long, pos int, pivot long, pivot_n long")
+    return rows.select("cell", "token", "k1", "n", "m", "pos", "hot").mapInArrow(run, "token long, k1 long, n long, m long, pos int")
 
 
 def _across(postings: DataFrame) -> DataFrame:
@@ -314,6 +317,28 @@ def _first_digest(node: F.Column) -> F.Column:
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
+def _labelled(postings: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Postings with their sets' components so far."""
+    alone = F.xxhash64("k1")
+    if comp is None:
+        return postings.withColumn("comp", alone)
+    of = comp.select(_first_digest(F.col("node")).alias("k1"), F.xxhash64("comp").alias("comp"))
+    return postings.join(of, "k1", "left").withColumn("comp", F.coalesce("comp", alone))
+
+
+def _star(known: DataFrame, turn: int) -> DataFrame:
+    """One pair (x, y) at most for each set: y is the pivot, of another component, that shares most prefix shingles with it.
+
+    A shingle's pivot is the set of the least hash, another one each turn.  Sets that share few shingles are left out, as
+    these pairs only serve to join groups of copies early.
+    """
+    pivot = known.groupBy("token").agg(F.min(F.struct(F.xxhash64("k1", F.lit(turn)).alias("h"), F.col("k1").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    pivot = pivot.where("lo <> hi").select("token", "p.y", "p.ny", "p.cy")
+    met = known.join(pivot, "token").where("comp <> cy and 4 * least(n, ny) >= 3 * greatest(n, ny)")
+    met = met.groupBy("k1", "y").agg(F.count("*").alias("got"), F.max("n").alias("n")).where("16 * got >= n")
+    return met.groupBy("k1").agg(F.max(F.struct("got", "y")).alias("best")).select(F.col("k1").alias("x"), F.col("best.y").alias("y"))
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     counts = sketch(docs, text)
@@ -321,17 +346,22 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     postings = stored(_shared_postings(full), "postings")
     signature = stored(full.select("doc_id", "n", "k1", "k2"), "signature")
     discard(full)
-    # the pivot that shares most prefix shingles with each set, if it shares a fair part: that many groups of copies do
-    star = postings.where("k1 <> pivot and 4 * least(n, pivot_n) >= 3 * greatest(n, pivot_n)").groupBy("k1", "pivot").agg(F.count("*").alias("got"), F.max("n").alias("n")).where("16 * got >= n")
-    star = stored(star.groupBy("k1").agg(F.max(F.struct("got", "pivot")).alias("best")).select(F.col("k1").alias("x"), F.col("best.pivot").alias("y")), "star")
-    links = verified(docs, star, text)
-    comp = components(links)
-    of = comp.select(_first_digest(F.col("node")).alias("k1"), F.xxhash64("comp").alias("comp"))
-    known = postings.drop("pivot", "pivot_n").join(of, "k1", "left").withColumn("comp", F.coalesce("comp", F.xxhash64("k1")))
-    rest = stored(_across(known), "pairs")
-    more = verified(docs, rest, text)
-    final = components(links.union(more))
-    for x in (star, rest, postings, comp):
+    comp, links = None, None
+    for turn in range(ROUNDS):
+        known = _labelled(postings, comp)
+        pairs = stored(_star(known, turn), "star")
+        new = verified(docs, pairs, text)
+        found = new.limit(1).count()
+        discard(pairs)
+        links = new if links is None else links.union(new)
+        if comp is not None:
+            discard(comp)
+        comp = components(links)
+        if not found:
+            break
+    pairs = stored(_across(_labelled(postings, comp)), "pairs")
+    final = components(links.union(verified(docs, pairs, text)))
+    for x in (pairs, postings, comp):
         discard(x)
     node = F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0")).alias("node")
     rows = signature.select("doc_id", "n", node)
