@@ -14,8 +14,10 @@ are merged likewise, read backwards.  A string that begins ``a`` bytes before it
 anchor repeats if two contexts lie in one interval of at least ``a`` common bytes to
 the left and ``length - a`` to the right; all ``a`` are tried.
 
-A gram with more than ``hot`` anchors would be too much for one task.  Its
-strings are grouped by a 128-bit digest instead, counted with partial sums.
+A gram with more than ``hot`` anchors would be too much for one task.  Its strings are
+cut into slices of SLICE neighbouring ``a``, which share all but 2 * SLICE bytes; a digest of
+the shared bytes takes the gram's place.  Slices that occur once are done.  Only if a slice is
+still hot are its strings themselves grouped by digest, counted with partial sums.
 
 Defined results: a null text is empty; a text that occurs in two rows is
 repeated as a whole if it has ``length`` bytes; strings never cross texts; overlaps
@@ -40,6 +42,7 @@ LENGTH = 400
 GRAM = 64
 BUCKET = 12_000  # anchors in a bucket
 HOT = 40_000  # anchors of one gram that one task may hold
+SLICE = 32
 PIECE = 4 << 20  # a longer text is searched piece by piece
 BROADCAST_ROWS = 100_000
 
@@ -115,7 +118,7 @@ def _signatures(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _contexts(rows: DataFrame, buckets: int, length: int) -> DataFrame:
-    """The bytes around each shared anchor, or for hot grams one row for each string's digest."""
+    """The bytes around each shared anchor; for hot grams, of each slice of its strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,13 +133,15 @@ def _contexts(rows: DataFrame, buckets: int, length: int) -> DataFrame:
                 text = buf[offs[i] : offs[i + 1]].tobytes()
                 key = keys[i].as_py()
                 for j in range(ends[i], ends[i + 1]):
-                    if hot[j]:
-                        for s in range(lo[j], hi[j] + 1):
-                            d = hashlib.blake2b(text[s : s + length], digest_size=16).digest()
-                            out.append((-1, 0, key, s, 0, d))
+                    p = int(place[j])
+                    if not hot[j]:
+                        out.append((int(gram[j]) % buckets, int(gram[j]), key, p, p - int(lo[j]), text[lo[j] : hi[j] + length]))
                     else:
-                        out.append((int(gram[j]) % buckets, int(gram[j]), key, int(place[j]), int(place[j] - lo[j]), text[lo[j] : hi[j] + length]))
-                    size += len(out[-1][5]) + 64
+                        for k in range((p - int(hi[j])) // SLICE, (p - int(lo[j])) // SLICE + 1):
+                            first, last = max(int(lo[j]), p - SLICE * k - SLICE + 1), min(int(hi[j]), p - SLICE * k)
+                            same = hashlib.blake2b(text[p - SLICE * k : p - SLICE * k - SLICE + 1 + length] + bytes([k]), digest_size=8).digest()
+                            out.append((-1, int.from_bytes(same, "little", signed=True), key, p, p - first, text[first : last + length]))
+                    size += 800
                     if size > 4 << 20:
                         yield _batch(out)
                         out, size = [], 0
@@ -231,10 +236,18 @@ def _found(contexts: DataFrame, length: int) -> DataFrame:
         one = np.repeat(np.arange(len(which)), per[which + 1] - per[which])
         return pa.table({"key": table.column("key").take(pa.array(one)), "from": pa.array(place[one] - (b[take] - 1)), "to": pa.array(place[one] - a[take])})
 
-    cold = contexts.where("bucket >= 0").groupBy("bucket").applyInArrow(bucket, "key string, `from` long, `to` long")
-    hot = contexts.where("bucket < 0").select("bytes", "key", "place")
-    twice = hot.groupBy("bytes").agg(F.count("*").alias("n")).where("n > 1").select("bytes")
-    return cold.union(hot.join(twice, "bytes").select("key", F.col("place").alias("from"), F.col("place").alias("to")))
+    return contexts.groupBy("bucket").applyInArrow(bucket, "key string, `from` long, `to` long")
+
+
+def _found_hot(slices: DataFrame, buckets: int, length: int, hot: int) -> DataFrame:
+    """The same of hot grams' slices."""
+    often = slices.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    again = slices.join(often, "gram")
+    out = _found(again.where(F.col("n") <= hot).select(F.pmod("gram", F.lit(buckets)).alias("bucket"), "gram", "key", "place", "left", "bytes"), length)
+    each = again.where(F.col("n") > hot).select("key", (F.col("place") - F.col("left")).alias("first"), "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("k"))
+    each = each.select("key", (F.col("first") + F.col("k")).alias("from"), F.sha2(F.substring(F.col("bytes"), F.col("k") + 1, F.lit(length)), 256).alias("digest"))
+    twice = each.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    return out.union(each.join(twice, "digest").select("key", "from", F.col("from").alias("to")))
 
 
 def _spans(starts: list[dict], length: int) -> list[tuple[int, int]]:
@@ -261,10 +274,22 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     shared = one.join(often, "gram").select("key", "id", F.struct("gram", "place", "lo", "hi", (F.col("n_gram") > hot).alias("hot")).alias("x"))
     shared = stored(shared.groupBy("key", "id").agg(F.collect_list("x").alias("found")), "shared")
     buckets = max(1, (shared.agg(F.sum(F.size("found"))).first()[0] or 0) // bucket_rows)
-    found = stored(_found(_contexts(named.select("key", "id", "text").join(shared, ["key", "id"]), buckets, length), length), "found")
+    body_of = named.select("key", "id", "text")
+
+    def of(is_hot: bool) -> DataFrame:
+        part = shared.withColumn("found", F.filter("found", lambda x: x["hot"] == is_hot)).where(F.size("found") > 0)
+        return _contexts(body_of.join(part, ["key", "id"]), buckets, length)
+
+    found = _found(of(False), length)
+    if shared.where(F.exists("found", lambda x: x["hot"])).limit(1).count():
+        slices = stored(of(True), "slices")
+        found = found.union(_found_hot(slices, buckets, length, hot))
+    else:
+        slices = None
+    found = stored(found, "found")
     starts = found.groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("starts"))
     verdict = stored(starts.join(whole.withColumn("whole", F.lit(True)), "key", "full").withColumn("whole", F.coalesce("whole", F.lit(False))), "verdict")
-    for x in (full, shared, found):
+    for x in filter(None, (full, shared, found, slices)):
         discard(x)
     small = verdict.agg(F.count("*"), F.sum(F.coalesce(F.size("starts"), F.lit(0)))).first()
     # broadcast only what has been counted to be small
