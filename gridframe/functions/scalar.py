@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..plans.expr import call
@@ -54,8 +55,6 @@ fma = _native("fma", lambda a, b, c: a.cast("double") * b.cast("double") + c.cas
 
 def _special(name: str):
     def build(*args):
-        import pandas as pd
-
         from . import special
 
         f = special.each(special.SCALAR[name])

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from math import prod
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -500,8 +501,6 @@ def call(name: str, fn: Callable[..., Column], *args, dtype: str | Callable[...,
 
 def map_by(fn: Callable, *args, dtype: str = "double") -> Expr:
     """A user's function of numpy arrays, in Arrow batches; ``call`` with Columns is faster where it can be written so."""
-    import pandas as pd
-
     @F.pandas_udf(dtype)
     def udf(*xs: pd.Series) -> pd.Series:
         return pd.Series(fn(*(x.to_numpy() for x in xs)))

@@ -106,6 +106,19 @@ class NdFrame:
         return array_of(df, tuple(self.shape[o] for o in order), self.dtype)
 
 
+def _delegated(name: str):
+    def method(self, *args):
+        from .expr import as_expr
+
+        return getattr(as_expr(self), name)(*args)
+
+    return method
+
+
+for _name in ("add", "radd", "sub", "rsub", "mul", "rmul", "truediv", "rtruediv", "mod", "rmod", "and", "or", "xor", "lshift", "rshift", "lt", "gt", "le", "ge", "neg", "pos", "invert"):
+    setattr(NdFrame, f"__{_name}__", _delegated(f"__{_name}__"))
+
+
 def flat_index(coords: Sequence[Column], shape: Sequence[int]) -> Column:
     out = F.lit(0).cast("bigint")
     for c, e in zip(coords, shape, strict=True):
