@@ -401,7 +401,7 @@ def affine_conv(spark, d):
     return named(g.fold(f[g.zero(out - j)] * f[j], j).eval(), "day")
 
 
-@query("""with c as (select n_nationkey, sum(n_regionkey + 1) over (order by n_nationkey) / 75.0 as cdf from nation), u as (select c_custkey, (c_custkey % 100) / 100.0 as u from customer where c_custkey < 300)
+@query("""with c as (select n_nationkey, sum(n_regionkey + 1) over (order by n_nationkey) / 75.0 as cdf from nation), u as (select range as c_custkey, (range % 100) / 100.0 as u from range(300))
 select c_custkey as draw, count(*) filter (where u > cdf)::int as at from u cross join c group by 1""")
 def cdf_lookup(spark, d):
     p = vector(spark, d, "nation", "n_nationkey", F.col("n_regionkey") + 1)
@@ -549,10 +549,13 @@ def math_complex(spark, d):
     return _math(spark, d, exprs)
 
 
-@query(f"select c_custkey as k, round(gamma(abs({_X}) + 1), 3) as tgamma, round(lgamma(abs({_X}) + 1), 6) as lgamma, round((5 * {_U} ** 3 - 3 * {_U}) / 2, 6) as legendre, round(8 * {_U} ** 3 - 12 * {_U}, 6) as hermite, round(({_U} ** 2 - 4 * {_U} + 2) / 2, 6) as laguerre from customer")
+_V = f"({_X} / 10.37)"
+
+
+@query(f"select c_custkey as k, round(gamma(abs({_X}) + 1), 3) as tgamma, round(lgamma(abs({_X}) + 1), 6) as lgamma, round((5 * {_V} ** 3 - 3 * {_V}) / 2, 6) as legendre, round(8 * {_V} ** 3 - 12 * {_V}, 6) as hermite, round(({_V} ** 2 - 4 * {_V} + 2) / 2, 6) as laguerre from customer")
 def math_special(spark, d):
     m = g.math
-    out = _math(spark, d, lambda x: {"tgamma": m.tgamma(m.abs(x) + 1.0), "lgamma": m.lgamma(m.abs(x) + 1.0), "legendre": m.legendre(3, x / 10.0), "hermite": m.hermite(3, x / 10.0), "laguerre": m.laguerre(2, x / 10.0)})
+    out = _math(spark, d, lambda x: {"tgamma": m.tgamma(m.abs(x) + 1.0), "lgamma": m.lgamma(m.abs(x) + 1.0), "legendre": m.legendre(3, x / 10.37), "hermite": m.hermite(3, x / 10.37), "laguerre": m.laguerre(2, x / 10.37)})
     return out.withColumn("tgamma", F.round("tgamma", 3))
 
 
