@@ -40,7 +40,7 @@ from .shared import discard, partitions, stored
 
 SHINGLE = 5
 MOST_MATCHES = 4  # the largest L
-ROUNDS = 3  # of joining groups of copies by pivots, before pairs across components
+ROUNDS = 2  # of joining groups of copies by pivots, before pairs across components
 SKETCH_BITS = 22
 BLOCK = 1 << 18  # counters in a row of the sketch
 NEEDED_BITS = 22
@@ -94,15 +94,15 @@ def sketch(docs: DataFrame, text: str) -> np.ndarray:
     """Shingles of all texts counted in 2 ** SKETCH_BITS cells: one fixed-size row set of each partition, summed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             buf, offs = t.texts(batch.column(0))
             for a, b in t.chunks(offs):
                 h, _ = t.shingles(t.Words(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], t.NON_SPACE), SHINGLE)
-                total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+                np.add.at(total, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
         rows = total.reshape(-1, BLOCK)
         on = np.flatnonzero(rows.any(1))
-        yield pa.RecordBatch.from_pydict({"block": pa.array(on, pa.int32()), "counts": pa.array([zlib.compress(rows[k].astype(np.uint32).tobytes(), 1) for k in on], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"block": pa.array(on, pa.int32()), "counts": pa.array([zlib.compress(rows[k].tobytes(), 1) for k in on], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.int64)
