@@ -378,6 +378,8 @@ def evaluate(e, order: Sequence[Ix] | None = None) -> NdFrame:
     if isinstance(e, E.Generated) and e._shape is None:
         raise ShapeError("a generator without a shape is evaluated beside an array only")
     node = e.structural()
+    if order is not None and isinstance(node, E.Scatter):
+        raise ShapeError("a scatter's axes have a fixed order")
     if e.shape is not None:
         if order is not None:
             raise ShapeError("a positional expression has no order of indexes")
@@ -402,8 +404,6 @@ def evaluate(e, order: Sequence[Ix] | None = None) -> NdFrame:
     free = E.extents(e)
     ids = _axes(e)
     if order is not None:
-        if isinstance(node, E.Scatter):
-            raise ShapeError("a scatter's axes have a fixed order")
         if set(order) != set(ids) or len(order) != len(ids):
             raise ShapeError(f"the order must name {', '.join(i.name for i in ids)} once each")
         ids = list(order)
