@@ -15,7 +15,7 @@ def scratch(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a local one only where that is unset and the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file:///tmp/checkpoints"
     return folder.rstrip("/")

@@ -490,7 +490,7 @@ def test_words_and_chunks():
 
 
 def test_stored_folder(spark, tmp_path, monkeypatch):
-    assert shared.scratch(spark).startswith("file:")
+    assert shared.scratch(spark)
     monkeypatch.setattr(shared, "scratch", lambda s: f"file://{tmp_path}")
     df = shared.stored(spark.range(3), "x")
     assert df.count() == 3 and list(tmp_path.iterdir())
