@@ -93,7 +93,7 @@ class NdFrame:
         spark = self.df.sparkSession
         if spark.sparkContext.getCheckpointDir() is None:
             folder = spark.conf.get("spark.checkpoint.dir", None)
-            if not folder and not spark.sparkContext.master.startswith("local["):
+            if not folder and spark.sparkContext.master.split("[")[0] != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(folder or "file:///tmp/checkpoints")
         return array_of(self.df.checkpoint(), self.shape, self.dtype)
