@@ -9,8 +9,8 @@ which it is the longer: from its own tokens' estimated posting lengths, a longer
 prefix costs more probes but leaves fewer candidates to verify.
 
 Links are found without listing the pairs of a group.  Documents of one set
-are one node.  First, a few times, every node is verified against one other only, a
-pivot that it shares most prefix shingles with; this joins groups of copies.
+are one node.  First, in a few turns, every node is verified against few others, pivots
+that it shares most prefix shingles with; this joins groups of copies.
 Then pairs that share enough prefix shingles are verified, but only across
 components: shingles inside one component are dropped, and within a shingle no
 pair of one component is made.  Components are what the links define, so no
@@ -45,6 +45,7 @@ SKETCH_BITS = 22
 BLOCK = 1 << 18  # counters in a row of the sketch
 NEEDED_BITS = 22
 HOT = 20_000  # documents of a shingle that one task compares at once
+SEEDS = 4  # pivots of a shingle in the turns after the first
 GROUP = 2000  # partners that one set is verified with in a task
 SPREAD = 256  # parts that the entries of such a shingle are dealt to
 
@@ -327,16 +328,26 @@ def _labelled(postings: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 
 def _star(known: DataFrame, turn: int) -> DataFrame:
-    """One pair (x, y) at most for each set: y is the pivot, of another component, that shares most prefix shingles with it.
+    """A few pairs (x, y) for each set: y is a pivot, of another component, that shares most prefix shingles with x.
 
-    A shingle's pivot is the set of the least hash, another one each turn.  Sets that share few shingles are left out, as
-    these pairs only serve to join groups of copies early.
+    A shingle's pivots are the sets of least hash, under one hash in the first turn and SEEDS others in each later
+    turn.  Sets that share few shingles are left out, as these pairs only serve to join groups of copies early.
     """
-    pivot = known.groupBy("token").agg(F.min(F.struct(F.xxhash64("k1", F.lit(turn)).alias("h"), F.col("k1").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    pivot = pivot.where("lo <> hi").select("token", "p.y", "p.ny", "p.cy")
+    seeds = range(1) if not turn else range(1 + (turn - 1) * SEEDS, 1 + turn * SEEDS)
+    least = [F.min(F.struct(F.xxhash64("k1", F.lit(s)).alias("h"), F.lit(s).alias("seed"), F.col("k1").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))).alias(f"p{s}") for s in seeds]
+    pivot = known.groupBy("token").agg(*least, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    pivot = pivot.select("token", F.explode(F.array(*(f"p{s}" for s in seeds))).alias("p")).select("token", "p.seed", "p.y", "p.ny", "p.cy")
     met = known.join(pivot, "token").where("comp <> cy and 4 * least(n, ny) >= 3 * greatest(n, ny)")
-    met = met.groupBy("k1", "y").agg(F.count("*").alias("got"), F.max("n").alias("n")).where("16 * got >= n")
-    return met.groupBy("k1").agg(F.max(F.struct("got", "y")).alias("best")).select(F.col("k1").alias("x"), F.col("best.y").alias("y"))
+    met = met.groupBy("k1", "y", "seed").agg(F.count("*").alias("got"), F.max("n").alias("n")).where("16 * got >= n")
+    return met.groupBy("k1", "seed").agg(F.max(F.struct("got", "y")).alias("best")).select(F.col("k1").alias("x"), F.col("best.y").alias("y")).distinct()
+
+
+def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """Pairs that no earlier turn has verified, in either direction."""
+    if tried is None:
+        return pairs
+    done = tried.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")}).join(done, ["a", "b"], "left_anti").select("x", "y")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -346,22 +357,20 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     postings = stored(_shared_postings(full), "postings")
     signature = stored(full.select("doc_id", "n", "k1", "k2"), "signature")
     discard(full)
-    comp, links = None, None
+    comp, links, tried = None, None, None
     for turn in range(ROUNDS):
-        known = _labelled(postings, comp)
-        pairs = stored(_star(known, turn), "star")
+        pairs = stored(_untried(_star(_labelled(postings, comp), turn), tried), "star")
         new = verified(docs, pairs, text)
-        found = new.limit(1).count()
-        discard(pairs)
+        tried = pairs if tried is None else tried.union(pairs)
         links = new if links is None else links.union(new)
         if comp is not None:
             discard(comp)
         comp = components(links)
-        if not found:
+        if not new.limit(1).count():
             break
-    pairs = stored(_across(_labelled(postings, comp)), "pairs")
+    pairs = stored(_untried(_across(_labelled(postings, comp)), tried), "pairs")
     final = components(links.union(verified(docs, pairs, text)))
-    for x in (pairs, postings, comp):
+    for x in (pairs, tried, postings, comp):
         discard(x)
     node = F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0")).alias("node")
     rows = signature.select("doc_id", "n", node)
