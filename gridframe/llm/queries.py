@@ -98,5 +98,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_SPLIT = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_DECONTAMINATE = f"""
+with d as (select row_number() over () as r, doc_id, {_SPLIT} as w from documents),
+i as (select coalesce(item_id::varchar, '') as item, {_SPLIT} as w from benchmark),
+v as (select item, least(len(w), 13) as k, w from i where len(w) > 0),
+item_windows as (select distinct item, k, list_slice(w, s, s + k - 1) as win from (select *, unnest(range(1, len(w) - k + 2)) as s from v)),
+sizes as (select distinct k from v),
+doc_windows as (select r, s, k, list_slice(w, s, s + k - 1) as win from (select r, w, k, unnest(range(1, len(w) - k + 2)) as s from d cross join sizes)),
+hits as (select r, s, k, item from doc_windows join item_windows using (k, win)),
+hit_words as (select r, count(distinct p) as n_hit from (select r, unnest(range(s, s + k)) as p from hits) group by r),
+hit_items as (select r, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as items_sha256 from (select distinct r, item from hits) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hit_words using (r) left join hit_items using (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontaminate": _DECONTAMINATE}
