@@ -1,16 +1,17 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
 Everything is DataFrame expressions and the JVM's forest; no Python runs on the
-executors.  A candidate is the first run of at least 16 key characters with a
-digit in a white-space separated word.  Its features: length, shares of
+executors.  A candidate is any run of at least 16 key characters with a digit,
+however many a white-space separated word holds.  Its features: length, shares of
 character kinds, transitions between kinds, share of distinct characters, how much of
 it dictionary words cover, signs of a path or address in the whole word, and the
-words around it.  The forest is trained from labelled findings; by default from
-``labelled``, a table that expressions generate alike everywhere.
+words around it; those of the word are found once for all its candidates.  The
+forest is trained from labelled findings; by default from ``labelled``, a table
+that expressions generate alike everywhere.
 
 Defined results: a null or empty text has no candidates, as has one without long
-runs; repeated rows give repeated findings; a word gives at most one candidate;
-other columns are not read.
+runs; repeated rows give repeated findings; runs do not overlap, and equal ones of
+a word are as many candidates; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,33 +31,57 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
-def features(found: DataFrame) -> DataFrame:
-    """FEATURES of rows with ``candidate``, ``word``, ``before2``, ``before1`` and ``after1``."""
-    c, w = F.col("candidate"), F.col("word")
-    n = F.greatest(F.length(c), F.lit(1)).cast("double")
+def _filled(found: DataFrame, new: dict[str, Column]) -> DataFrame:
+    return found.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in new.items()})
+
+
+def around(found: DataFrame) -> DataFrame:
+    """Those of FEATURES that a word's candidates have in common, from ``word``, ``before2`` and ``before1``."""
+    w = F.col("word")
     near = F.lower(F.concat_ws(" ", "before2", "before1", F.regexp_replace(w, RUN, " ")))
+    new = {
+        "path": F.when(w.rlike(r"^\.{0,2}/|[A-Za-z0-9_-]+/[A-Za-z0-9_.-]+/|\.[a-z]{2,4}$"), 1.0).otherwise(0.0), "address": F.when(F.lower(w).rlike("https?:|www[.]|@"), 1.0).otherwise(0.0),
+        "trust": F.when(near.rlike(rf"(^|[^a-z])({TRUST})([^a-z]|$)"), 1.0).otherwise(0.0), "doubt": F.when(near.rlike(rf"(^|[^a-z])({DOUBT})([^a-z]|$)"), 1.0).otherwise(0.0),
+        "assigned": F.when(F.concat_ws(" ", "before1", w).rlike("[=:]"), 1.0).otherwise(0.0), "quoted": F.when(w.rlike("[\"'`]"), 1.0).otherwise(0.0),
+    }
+    return _filled(found, new)
+
+
+def inside(found: DataFrame) -> DataFrame:
+    """Those of FEATURES that ``candidate`` alone gives."""
+    c = F.col("candidate")
+    n = F.greatest(F.length(c), F.lit(1)).cast("double")
     low = F.lower(c)
     new = {
         "length": F.length(c).cast("double"), "digits": _count(c, "[0-9]") / n, "upper": _count(c, "[A-Z]") / n, "lower": _count(c, "[a-z]") / n, "hexes": _count(c, "[0-9a-fA-F]") / n, "signs": _count(c, "[^0-9A-Za-z]") / n,
         "turns": _count(c, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])") / n, "case_turns": _count(c, "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])") / n, "vowel_turns": _count(low, "(?<=[aeiou])(?=[b-df-hj-np-tv-z])|(?<=[b-df-hj-np-tv-z])(?=[aeiou])") / n,
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(40.0)), "covered": (n - F.length(F.regexp_replace(low, "|".join(sorted(WORDS, key=len, reverse=True)), ""))) / n,
-        "path": F.when(w.rlike(r"^\.{0,2}/|[A-Za-z0-9_-]+/[A-Za-z0-9_.-]+/|\.[a-z]{2,4}$"), 1.0).otherwise(0.0), "address": F.when(F.lower(w).rlike("https?:|www[.]|@"), 1.0).otherwise(0.0), "dashes": _count(c, "-"),
-        "longest": F.array_max(F.transform(F.regexp_extract_all(F.concat(c, F.lit(" a")), F.lit("([A-Za-z]+)")), F.length)).cast("double"),
-        "trust": F.when(near.rlike(rf"(^|[^a-z])({TRUST})([^a-z]|$)"), 1.0).otherwise(0.0), "doubt": F.when(near.rlike(rf"(^|[^a-z])({DOUBT})([^a-z]|$)"), 1.0).otherwise(0.0),
-        "assigned": F.when(F.concat_ws(" ", "before1", w).rlike("[=:]"), 1.0).otherwise(0.0), "quoted": F.when(w.rlike("[\"'`]"), 1.0).otherwise(0.0),
+        "dashes": _count(c, "-"), "longest": F.array_max(F.transform(F.regexp_extract_all(F.concat(c, F.lit(" a")), F.lit("([A-Za-z]+)")), F.length)).cast("double"),
     }
-    return found.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in new.items()})
+    return _filled(found, new)
+
+
+def features(found: DataFrame) -> DataFrame:
+    """FEATURES of rows with ``candidate``, ``word``, ``before2`` and ``before1``."""
+    return inside(around(found))
 
 
 def candidates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, start, candidate, word, before2, before1, after1); start counts code points from 0."""
+    """(doc_id, start, candidate) and what :func:`around` gives; start counts code points from 0."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike(RUN))
     rows = rows.withColumn("words", F.split("text", r"\s"))
-    # word and candidate of each place; a word's start is the sum of what stands before it, one sign between words
-    found = rows.select("doc_id", "words", F.posexplode(F.transform("words", lambda w: F.when(F.length(w) >= LEAST, F.regexp_extract(w, RUN, 0)).otherwise(F.lit("")))).alias("i", "candidate")).where("candidate <> ''")
+    # word and runs of each place; a word's start is the sum of what stands before it, one sign between words
+    runs = F.transform("words", lambda w: F.when(F.length(w) >= LEAST, F.regexp_extract_all(w, F.lit(RUN), F.lit(0))))
+    found = rows.select("doc_id", "words", F.posexplode(runs).alias("i", "runs")).where("size(runs) > 0")
     word = lambda k: F.get("words", F.col("i") + k)
     before = F.when(F.col("i") == 0, 0).otherwise(F.length(F.array_join(F.slice("words", 1, F.col("i")), " ")) + 1)
-    return found.select("doc_id", (before + F.instr(word(0), F.col("candidate")) - 1).cast("long").alias("start"), "candidate", word(0).alias("word"), word(-2).alias("before2"), word(-1).alias("before1"), word(1).alias("after1"))
+    # a run's start is the end of the run before and what stands between them; there is one piece more than runs
+    steps = F.zip_with(F.slice(F.split(word(0), RUN, -1), F.lit(1), F.size("runs")), "runs", lambda gap, run: F.struct(F.length(gap).alias("gap"), F.length(run).alias("n")))
+    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(steps, none, lambda x, s: F.struct((x["end"] + s["gap"] + s["n"]).alias("end"), F.array_append(x["starts"], x["end"] + s["gap"]).alias("starts")))["starts"]
+    words = around(found.select("doc_id", before.alias("before"), F.arrays_zip(starts.alias("start"), F.col("runs").alias("run")).alias("at"), word(0).alias("word"), word(-2).alias("before2"), word(-1).alias("before1")))
+    each = words.drop("word", "before2", "before1").withColumn("at", F.explode("at"))
+    return each.select("doc_id", (F.col("before") + F.col("at.start")).cast("long").alias("start"), F.col("at.run").alias("candidate"), *(c for c in FEATURES if c in each.columns))
 
 
 def labelled(spark: SparkSession, n: int = 2400) -> DataFrame:
@@ -101,6 +126,6 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", finding
     from pyspark.ml.functions import vector_to_array
 
     model = forest(labelled(docs.sparkSession) if findings is None else findings)
-    found = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(features(candidates(docs, doc_id, text)))
+    found = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(inside(candidates(docs, doc_id, text)))
     score = vector_to_array("probability")[1]
     return model.transform(found).select("doc_id", "start", "candidate", score.alias("score"), (score >= 0.5).alias("is_secret"))

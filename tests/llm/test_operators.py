@@ -215,6 +215,17 @@ def test_secrets(spark, docs, empty):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_every_run_is_a_candidate(spark, docs):
+    r = random.Random(6)
+    parts = ["3f5c9a7e1b2d4c6f8a90", "ghp_aB3dE5fG7hI9jK1mN3", "lettersonlylettersonly", "short1", "é", "😀", '"', ",", ":", " ", "\n", "&", "//host1.example.com/v1/items?token="]
+    texts = ['{"api_key":"3f5c9a7e1b2d4c6f8a90","secret":"9ab1c2d3e4f5a6b7c8d9"}', "see https://host1.example.com/v1/items?token=ghp_aB3dE5fG7hI9jK1mN3", "3f5c9a7e1b2d4c6f8a90,3f5c9a7e1b2d4c6f8a90", ",".join(hashlib.md5(str(n).encode()).hexdigest() for n in range(3000))]
+    texts += ["".join(r.choice(parts) for _ in range(r.randint(1, 25))) for _ in range(200)]
+    rows = [*enumerate(texts), *corpus()]
+    got = op6_secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert counted(got, "doc_id", "start", "candidate") == Counter((i, m.start(), m[0]) for i, x in rows for m in re.finditer(op6_secrets.RUN, x or ""))
+    assert {(x.doc_id, x.candidate) for x in got if x.is_secret} >= {(0, "9ab1c2d3e4f5a6b7c8d9")}
+
+
 def test_forest_held_out(spark):
     rows = op6_secrets.labelled(spark, 3000)
     model = op6_secrets.forest(rows.limit(2000))
