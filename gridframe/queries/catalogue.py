@@ -158,6 +158,14 @@ def scatter_product(spark, d):
     return named(scatter_rows([(at, "drop", 8)], a, g.Mul), "cell", value="grown", round_to=6)
 
 
+@query("select o_orderkey as cell, round(exp(sum(coalesce(l_discount, 0))), 6) as grown from orders left join lineitem on l_orderkey = o_orderkey group by 1")
+def scatter_product_orders(spark, d):
+    # every line of the table: an order has few, so that the products stay finite whatever its size
+    grown, order = lines(spark, d, F.exp("l_discount"), F.col("l_orderkey"))
+    n = table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] + 1
+    return named(scatter_rows([(order, "drop", n)], grown, g.Mul), "cell", value="grown", round_to=6)
+
+
 def _by_customer(spark, d, op) -> g.NdFrame:
     orders = table(spark, d, "orders")
     price = g.from_table(orders, ["o_orderkey"], "o_totalprice")

@@ -36,6 +36,13 @@ def test_query(spark, duck, name):
         pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=0, atol=0)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_product_of_every_line(spark, duck):
+    got = {r.cell: r.grown for r in queries()["scatter_product_orders"](spark, DATA).collect()}
+    want = dict(duck.sql("select l_orderkey, product(exp(l_discount)) from lineitem group by 1").fetchall())
+    assert set(want) <= set(got) and all(v == pytest.approx(want.get(k, 1), abs=1e-6) for k, v in got.items())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
