@@ -31,8 +31,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import textops as t
 from .components import components
@@ -350,8 +351,12 @@ def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
     return pairs.withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")}).join(done, ["a", "b"], "left_anti").select("x", "y")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+def _node(k1: str, k2: str) -> Column:
+    return F.concat(F.lpad(F.hex(k1), 16, "0"), F.lpad(F.hex(k2), 16, "0"))
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, node) of ``docs``; (node, least, comp) of each set; (comp, component_id)."""
     counts = sketch(docs, text)
     full = stored(signatures(docs, doc_id, text, counts), "signature")
     postings = stored(_shared_postings(full), "postings")
@@ -372,11 +377,50 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     final = components(links.union(verified(docs, pairs, text)))
     for x in (pairs, tried, postings, comp):
         discard(x)
-    node = F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0")).alias("node")
-    rows = signature.select("doc_id", "n", node)
+    rows = signature.select("doc_id", "n", _node("k1", "k2").alias("node"))
     # copies of one set first, then the sets of a component: no group of rows meets in one task
     ids = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = ids.groupBy("comp").agg(F.min("least").alias("component_id"))
+    return rows, ids, ids.groupBy("comp").agg(F.min("least").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+    rows, ids, least = _grouped(docs, doc_id, text)
     of_node = ids.select("node", "comp").join(least, "comp").select("node", "component_id")
     out = rows.join(of_node, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def with_sets(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with ``_node``, the name of each row's set: null without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, s in _batches(batches, text, None):
+            none = s.size == 0
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s.key1, mask=none), pa.array(s.key2, mask=none)], [*part.schema.names, "_k1", "_k2"])
+
+    schema = StructType([*docs.schema.fields, StructField("_k1", LongType()), StructField("_k2", LongType())])
+    return docs.mapInArrow(run, schema).withColumn("_node", _node("_k1", "_k2")).drop("_k1", "_k2")
+
+
+def first_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component: that of the least id, null ids last; of rows with that id, the first by all columns.
+
+    Rows are told apart by id and set, never by id alone.  A row without words links with nothing and stays.
+    Columns have an order (no maps); ``text`` is a string.
+    """
+    _, ids, least = _grouped(docs, doc_id, text)
+    first = stored(ids.join(least, "comp").where(F.col("least").eqNullSafe(F.col("component_id"))).select("comp", "node", "least"), "first")
+    row = F.struct(*docs.columns)
+    found = with_sets(docs, text)
+    key = lambda node, i: F.concat(node, F.coalesce(F.concat(F.lit(":"), F.col(i).cast("string")), F.lit("")))
+    # copies of a set under one id are one row before they are dealt out
+    one = found.where("_node is not null").groupBy(key(F.col("_node"), doc_id).alias("_key")).agg(F.min(row).alias("_row"))
+    comps = first.groupBy("comp").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.min("least").alias("least"))
+    kept = one.join(comps.where("node = last").select(key(F.col("node"), "least").alias("_key")), "_key", "left_semi").select("_row.*")
+    # only where rows of several sets share the least id, or have none, does their content decide
+    several = comps.where("node <> last").select("comp")
+    if several.limit(1).count():
+        tied = first.join(several, "comp").select("comp", key(F.col("node"), "least").alias("_key"))
+        kept = kept.unionByName(one.join(tied, "_key").groupBy("comp").agg(F.min("_row").alias("_row")).select("_row.*"))
+    return kept.unionByName(found.where("_node is null").select(*docs.columns))

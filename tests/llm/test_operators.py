@@ -274,6 +274,16 @@ def test_near_duplicates(docs, empty, monkeypatch):
     assert op4_jaccard.near_duplicates(empty).count() == 0
 
 
+def test_first_of_each_component(spark):
+    r = random.Random(12)
+    prose = lambda: " ".join(r.choice("abcdefghijklmnopq") + str(r.randrange(40)) for _ in range(40))
+    a, b, c, d, e = (prose() for _ in range(5))
+    rows = [(None, a), (3, a), (2, a + " more"), (None, a + " more"), (7, b), (7, c), (7, c), (7, c + " z"), (None, d + " y"), (None, d), (None, d), (None, e), (9, ""), (None, None), (None, " "), (4, "one"), (None, "one")]
+    got = op4_jaccard.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(2, a + " more"), (7, b), (7, c), (None, d), (None, e), (9, ""), (None, None), (None, " "), (4, "one")]
+    assert counted(got, "doc_id", "text") == Counter(want)
+
+
 def test_longer_prefixes_lose_nothing(spark, monkeypatch):
     r = random.Random(9)
     words = [str(n) for n in range(60)]
@@ -517,6 +527,16 @@ def test_queries_registered():
     assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
 
 
+def test_pipeline_keeps_one_row_of_each_component(docs, tmp_path, spark):
+    import corpus_pipeline as c
+
+    rows = corpus()
+    kept = c.near_duplicates(spark, docs, str(tmp_path)).collect()
+    groups = {n for (_, x), (_, _, n) in zip(rows, linked(rows), strict=True) if x and x.strip()}
+    without = Counter((i, x) for i, x in rows if not (x and x.strip()))
+    assert Counter((r.doc_id, r.text) for r in kept) == without + Counter(next((i, x) for i, x in rows if i == n) for n in groups)
+
+
 def test_pipeline_stages(docs, items, labels, tmp_path, spark):
     import corpus_pipeline as c
 
