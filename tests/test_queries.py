@@ -43,6 +43,13 @@ def test_product_of_every_line(spark, duck):
     assert set(want) <= set(got) and all(v == pytest.approx(want.get(k, 1), abs=1e-6) for k, v in got.items())
 
 
+def test_diagonal_of_wider_vectors(spark, tmp_path):
+    rows = [(n, [float(100 * n + k) for k in range(70)]) for n in range(90)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries()["diagonal"](spark, str(tmp_path)).collect()
+    assert sorted((r.row, r.v) for r in got) == [(n, 101.0 * n) for n in range(70)]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
