@@ -5,7 +5,7 @@ is shorter) is a set of positioned word shingles, ordered by how many documents
 hold them.  A document that holds the window holds all its shingles, so the
 necessary prefix of the window is its one rarest shingle.  Documents' shingles
 meet only these; the shingle's place in the window bounds where the window may
-start, its length must fit in the text, and then every word is compared.
+start, its length must fit in the text, and then every word is compared, first by hash and then byte by byte.
 
 The index of the items is broadcast in slices of bounded size: further slices
 are further passes over the rows, so neither items nor documents are limited.
@@ -43,17 +43,32 @@ class Index:
         start = t.ranges(w.first[:-1], n_windows)
         item = np.repeat(np.arange(len(ids)), n_windows)
         k = size[item]
-        words = np.zeros((len(start), window), np.uint64)
+        words, name = np.zeros((len(start), window), np.uint64), np.full((len(start), window), -1)
+        names = self._names(w)
         for j in range(window):
             on = j < k
-            words[on, j] = w.hash[start[on] + j]
-        _, first, which = np.unique(np.column_stack([words, k.astype(np.uint64)]), axis=0, return_index=True, return_inverse=True) if len(start) else (None, np.zeros(0, int), np.zeros(0, int))
+            words[on, j], name[on, j] = w.hash[start[on] + j], names[start[on] + j]
+        _, first, which = np.unique(name, axis=0, return_index=True, return_inverse=True) if len(start) else (None, np.zeros(0, int), np.zeros(0, int))
         self.words, self.size = words[first], k[first]
+        self.low, self.word_start, self.word_end, self.at = w.low, w.start, w.end, start[first]
         pairs = np.unique(np.column_stack([which.reshape(-1), item]), axis=0) if len(start) else np.zeros((0, 2), int)
         self.items, self.item_start = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
         self.ids, self.shingle = ids, shingle
         self.token, self.offset, self.q = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    @staticmethod
+    def _names(w: t.Words) -> np.ndarray:
+        """A number for each word, alike for equal bytes only."""
+        if not len(w):
+            return np.zeros(0, np.int64)
+        _, first, name = np.unique(w.hash, return_index=True, return_inverse=True)
+        one = first[name]
+        clash = np.flatnonzero(~t.same_bytes(w.low, w.start, w.end, w.low, w.start[one], w.end[one]))
+        more: dict[bytes, int] = {}
+        for i in clash.tolist():
+            name[i] = more.setdefault(w.low[w.start[i] : w.end[i]].tobytes(), len(first) + len(more))
+        return name
+
     def __len__(self) -> int:
         return len(self.size)
 
@@ -101,6 +116,12 @@ class Index:
             for j in range(self.words.shape[1]):
                 on = j < self.size[window]
                 same[on] &= self.words[window[on], j] == w.hash[start[on] + j]
+            window, start = window[same], start[same]
+            same = np.ones(len(start), bool)
+            for j in range(self.words.shape[1]):
+                on = np.flatnonzero(j < self.size[window])
+                a, b = start[on] + j, self.at[window[on]] + j
+                same[on] &= t.same_bytes(w.low, w.start[a], w.end[a], self.low, self.word_start[b], self.word_end[b])
             got.append((window[same], start[same]))
         if not got:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)

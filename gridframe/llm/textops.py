@@ -7,6 +7,7 @@ are the same in every process and at every size.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,6 +83,28 @@ def chunks(offs: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         a = b
 
 
+LONG_WORD = 256  # bytes from which a word is digested whole
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def word_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of each word: eight bytes at a time are mixed into the state, so no sum or product of
+    byte values decides, and words of up to eight bytes and one length never clash; very long words are digested."""
+    size = end - start
+    padded = np.zeros(len(low) + 8, np.uint8)
+    padded[: len(low)] = low
+    eight = np.ndarray((len(low) + 1,), "<u8", padded, strides=(1,))
+    h = size.astype(U64) * _SLOT[60]
+    on, at, left = np.arange(len(size)), start, size
+    while len(on):
+        h[on] = mix(h[on] * _SLOT[61] + (eight[at] & _FIRST_BYTES[np.minimum(left, 8)]))
+        more = np.flatnonzero((left > 8) & (size[on] < LONG_WORD))
+        on, at, left = on[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size >= LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(low[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 class Words:
     """Words of some texts: hash, byte range and text of each, and the words' range of each text."""
 
@@ -96,10 +119,7 @@ class Words:
         nxt[cut[cut > 0] - 1] = False
         self.start = np.flatnonzero(is_word & ~prev)
         self.end = np.flatnonzero(is_word & ~nxt) + 1
-        power, inverse = powers(n + 1)
-        total = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE_VALUE[low] * power[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(U64))
+        self.hash = word_hashes(low, self.start, self.end)
         #: words of text i are first[i] .. first[i + 1]
         self.first = np.searchsorted(self.start, offs)
 
@@ -140,6 +160,17 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out + np.repeat(np.asarray(start, np.int64) - (np.cumsum(count) - count), count)
 
 
+def same_bytes(a: np.ndarray, a0: np.ndarray, a1: np.ndarray, b: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+    """Whether each range a0 .. a1 of ``a`` holds the same bytes as b0 .. b1 of ``b``; no range is empty."""
+    n = a1 - a0
+    ok = n == b1 - b0
+    on = np.flatnonzero(ok)
+    if len(on):
+        other = a[ranges(a0[on], n[on])] != b[ranges(b0[on], n[on])]
+        ok[on] = ~np.logical_or.reduceat(other, np.cumsum(n[on]) - n[on])
+    return ok
+
+
 class Filter:
     """Fixed-size bit table that drops most values which are not among the keys, without false negatives."""
 
@@ -152,6 +183,4 @@ class Filter:
 
 
 def hex_digest(text: str) -> str:
-    import hashlib
-
     return hashlib.sha256(text.encode()).hexdigest()
