@@ -9,19 +9,23 @@ which it is the longer: from its own tokens' estimated posting lengths, a longer
 prefix costs more probes but leaves fewer candidates to verify.
 
 Links are found without listing the pairs of a group.  Documents of one set
-are one node.  First, in a few turns, every node is verified against few others, pivots
-that it shares most prefix shingles with; this joins groups of copies.
-Then pairs that share enough prefix shingles are verified, but only across
-components: shingles inside one component are dropped, and within a shingle no
-pair of one component is made.  Components are what the links define, so no
-link between components can be missed.
+are one node.  First every node is verified against a central set of the groups that
+its prefix shingles form; this joins groups of copies.  Then all remaining pairs are
+compared, but only across components: components are what the links define, so no link
+between them can be missed.
+
+Shingles that few sets hold give pairs, which are counted until L are shared.  Where
+many sets meet, a task compares them by parity bitmaps of their shingles: the bits in
+which two bitmaps differ never outnumber the shingles in which the sets differ, so
+a pair with too many is no link and never becomes a row.
 
 Defined results: words are split at ASCII white space after lower-casing A-Z;
 fewer words than a shingle count as one shingle; without words (or with a null
 text) a document links with nothing; repeated rows and equal sets belong
 together; ids may repeat or be null (the component is the least id that isn't);
 other columns are not read.  Shingles are compared by 64-bit hashes and whole
-sets by 128 bits.
+sets by 128 bits.  The frequency sketch and the filter of sets to verify are the only
+broadcasts; their cells follow the input up to 2 ** MOST_BITS, beyond which they only get less sharp.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -41,14 +46,24 @@ from .shared import discard, partitions, stored
 
 SHINGLE = 5
 MOST_MATCHES = 4  # the largest L
-ROUNDS = 2  # of joining groups of copies by pivots, before pairs across components
-SKETCH_BITS = 22
+MOST_BITS = 24  # cells of the sketch, as a power of two
 BLOCK = 1 << 18  # counters in a row of the sketch
-NEEDED_BITS = 22
-HOT = 20_000  # documents of a shingle that one task compares at once
-SEEDS = 4  # pivots of a shingle in the turns after the first
-GROUP = 2000  # partners that one set is verified with in a task
-SPREAD = 256  # parts that the entries of such a shingle are dealt to
+HOT = 4_000  # documents of a shingle that one task compares at once
+LIGHT = 8  # sets of a shingle whose pairs are counted; of more, bitmaps are compared
+LEAD = 16  # earlier shared shingles of a set by which a pair is known to be another shingle's
+WIDTHS = (512, 2048, 8192, 32768)  # bits of a set's bitmap; a set has at most half as many shingles, if it isn't of the last kind
+GROUP = 256  # partners that one set is verified with in a task
+SPREAD = 256  # parts that the entries of a hot shingle are dealt to
+PAIRS = 1 << 18  # pairs that a task compares at once
+
+
+def cells(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sketch's cell of each shingle; the length of ``counts`` is a power of two."""
+    return (h >> np.uint64(65 - int(len(counts)).bit_length())).astype(np.int64)
+
+
+def width_class(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted(np.array(WIDTHS[:-1]) // 2, n, "left")
 
 
 class Sets:
@@ -69,7 +84,7 @@ class Sets:
             h, doc = np.concatenate([h, whole]), np.concatenate([doc, few])
         key = doc.astype(np.int64) << 32
         if rank is not None:
-            key |= rank[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            key |= rank[cells(h, rank)]
         order = np.lexsort((h, key))
         h, doc = h[order], doc[order]
         new = np.ones(len(h), bool)
@@ -79,6 +94,14 @@ class Sets:
         self.size = np.diff(self.first)
         self.key1, self.key2 = self._digest(1), self._digest(2)
 
+    def bitmaps(self) -> pa.Array:
+        """Of each set, which hash cells hold an odd number of its shingles."""
+        width = np.array(WIDTHS)[width_class(self.size)]
+        first = np.append(0, np.cumsum(width))
+        doc = np.repeat(np.arange(len(self.size)), self.size)
+        odd = np.bincount(first[doc] + (self.hash & (width[doc] - 1).astype(np.uint64)).astype(np.int64), minlength=first[-1]) & 1
+        return pa.Array.from_buffers(pa.binary(), len(width), [None, pa.py_buffer((first // 8).astype(np.int32)), pa.py_buffer(np.packbits(odd.astype(np.uint8), bitorder="little"))])
+
     def _digest(self, k: int) -> np.ndarray:
         """64 bits of each whole set, whatever its order."""
         total = np.append(np.uint64(0), np.cumsum(t.mix(self.hash * t._SLOT[40 + k] + np.uint64(k))))
@@ -93,30 +116,34 @@ def _batches(batches: Iterator[pa.RecordBatch], column: str, rank: np.ndarray |
 
 
 def sketch(docs: DataFrame, text: str) -> np.ndarray:
-    """Shingles of all texts counted in 2 ** SKETCH_BITS cells: one fixed-size row set of each partition, summed."""
+    """Shingles of all texts counted in a power of two of cells, about one for 128 bytes: a row set of each partition, summed."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    n = 1 << min(MOST_BITS, max(18, (size // 128).bit_length() - 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.uint32)
+        total = np.zeros(n, np.uint32)
         for batch in batches:
             buf, offs = t.texts(batch.column(0))
             for a, b in t.chunks(offs):
                 h, _ = t.shingles(t.Words(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], t.NON_SPACE), SHINGLE)
-                np.add.at(total, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
+                at = np.sort(cells(h, total))
+                new = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
+                total[at[new]] += np.diff(np.append(new, len(at))).astype(np.uint32)
         rows = total.reshape(-1, BLOCK)
-        on = np.flatnonzero(rows.any(1))
-        yield pa.RecordBatch.from_pydict({"block": pa.array(on, pa.int32()), "counts": pa.array([zlib.compress(rows[k].tobytes(), 1) for k in on], pa.binary())})
+        for k in np.flatnonzero(rows.any(1)).tolist():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "counts": pa.array([zlib.compress(rows[k].tobytes(), 1)], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.int64)
         for x in table.column("counts"):
             total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
-        total = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
+        total = np.minimum(total, (1 << 16) - 1).astype(np.uint16)
         return pa.table({"block": table.column("block")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    out = np.zeros(1 << SKETCH_BITS, np.uint32).reshape(-1, BLOCK)
+    out = np.zeros(n, np.uint16).reshape(-1, BLOCK)
     for r in rows:
-        out[r.block] = np.frombuffer(zlib.decompress(r.counts), np.uint32)
+        out[r.block] = np.frombuffer(zlib.decompress(r.counts), np.uint16)
     return out.ravel()
 
 
@@ -146,8 +173,8 @@ def choose_matches(n: int, posting: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, counts: np.ndarray) -> DataFrame:
-    """Per row: id, set size, digests, L, the prefix (only at a set's first row in each partition) and the places in it
-    of shingles that very many sets are estimated to hold."""
+    """Per row: id, set size, digests, L, the share of shingles that other sets are estimated to hold, and only at a set's
+    first row in each partition its bitmap, its prefix, and the places in that of shingles that very many sets seem to hold."""
     mean = float(counts.mean())
     noise = mean + 4 * mean**0.5 + 1
     shared = docs.sparkSession.sparkContext.broadcast(counts)
@@ -156,26 +183,28 @@ def signatures(docs: DataFrame, doc_id: str, text: str, counts: np.ndarray) -> D
         rank = shared.value
         seen: set[tuple[int, int]] = set()
         for part, s in _batches(batches, "text", rank):
-            posting = np.maximum(0, rank[(s.hash >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] - noise)
+            posting = np.maximum(0, rank[cells(s.hash, rank)] - noise)
             has = np.append(0, np.cumsum(posting > 0))
             matches = np.ones(len(s.size), np.int64)
             for i in np.flatnonzero((has[s.first[1:]] > has[s.first[:-1]]) & (s.size > 0)):
                 matches[i] = choose_matches(int(s.size[i]), posting[s.first[i] : s.first[i + 1]])
             length = np.minimum(s.size, np.maximum(s.size - overlap_longer(s.size) + matches, s.size - overlap_shorter(s.size) + MOST_MATCHES))
+            twin = np.zeros(len(s.size), bool)
             for i, k in enumerate(zip(s.key1.tolist(), s.key2.tolist(), strict=True)):
-                if k in seen:
-                    length[i] = 0
+                twin[i] = k in seen
                 seen.add(k)
+            length[twin] = 0
+            common = (100 * (has[s.first[1:]] - has[s.first[:-1]])) // np.maximum(s.size, 1)
             values = s.hash[t.ranges(s.first[:-1], length)].view(np.int64)
             prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(values))
             place = t.ranges(np.zeros(len(length), np.int64), length)
-            is_hot = rank[(values.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > HOT + noise
+            is_hot = rank[cells(values.view(np.uint64), rank)] > 5 * HOT + noise
             ends = np.append(0, np.cumsum(is_hot))[np.append(0, np.cumsum(length))]
             hot = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[is_hot], pa.int32()))
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n": pa.array(s.size), "k1": pa.array(s.key1), "k2": pa.array(s.key2), "m": pa.array(matches), "prefix": prefix, "hot": hot})
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n": pa.array(s.size), "k1": pa.array(s.key1), "k2": pa.array(s.key2), "m": pa.array(matches, pa.int32()), "common": pa.array(common, pa.int32()), "bits": pc.if_else(pa.array(twin | (s.size == 0)), None, s.bitmaps()), "prefix": prefix, "hot": hot})
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, m long, prefix array<long>, hot array<int>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, m int, common int, bits binary, prefix array<long>, hot array<int>")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str, most: int | None = None) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
@@ -199,66 +228,83 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str, most: int | None = None
 
 
 def _shared_postings(signature: DataFrame) -> DataFrame:
-    """Entries of the shingles that at least two sets have in their prefixes."""
-    rows = signature.where("n > 0").select("k1", "n", "m", "hot", F.posexplode("prefix").alias("pos", "token"))
+    """Entries of the shingles that at least two sets have in their prefixes, with the shingle's pivot (``py``, of size ``pn``).
+
+    The pivot is the set with the greatest share of shingles that others hold, so a text rather than its altered copies;
+    of a shingle that is dealt out, each part and piece has its own.
+    """
+    rows = signature.where("n > 0").select("k1", F.col("n").cast("int").alias("n"), "m", "common", "hot", F.posexplode("prefix").alias("pos", "token"))
     # a shingle that very many sets hold is dealt out further and kept whatever a part of its entries shows
     rows = rows.withColumn("hot", F.array_contains("hot", F.col("pos")))
-    rows = rows.withColumn("cell", F.when(F.col("hot"), F.xxhash64("token", F.pmod("k1", F.lit(SPREAD)))).otherwise(F.col("token")))
-    rows = rows.repartition(partitions(signature.sparkSession), "cell").sortWithinPartitions("cell", "k1")
+    cell = F.when(F.col("hot"), F.xxhash64("token", F.pmod("k1", F.lit(SPREAD)))).otherwise(F.col("token"))
+    rows = rows.repartition(partitions(signature.sparkSession), cell).sortWithinPartitions("token", "k1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, start in _groups(batches, "cell", 500_000):
-            cell, k1 = x["cell"], x["k1"]
-            twin = np.append(False, (cell[1:] == cell[:-1]) & (k1[1:] == k1[:-1]))
-            group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(cell))))
+        for x, start in _groups(batches, "token", 500_000):
+            token, k1 = x["token"], x["k1"]
+            twin = np.append(False, (token[1:] == token[:-1]) & (k1[1:] == k1[:-1]))
+            group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(token))))
             count = np.bincount(group, ~twin)
-            if x.pop("cut", None) is not None:  # a cell cut in pieces has more rows than these
+            if x.pop("cut", None) is not None:  # a shingle cut in pieces has more rows than these
                 count[[0, -1]] += 2
             keep = ~twin & ((count[group] > 1) | x["hot"])
+            central = np.lexsort((k1 * np.int64(t._SLOT[7].astype(np.int64)), x["common"], group))[np.append(start[1:], len(k1)) - 1][group]
             if keep.any():
-                yield pa.RecordBatch.from_pydict({n: pa.array(x[n][keep]) for n in ("token", "k1", "n", "m", "pos")})
+                yield pa.RecordBatch.from_pydict({n: pa.array(x[n][keep]) for n in ("token", "k1", "n", "m", "pos")} | {"py": pa.array(k1[central[keep]]), "pn": pa.array(x["n"][central[keep]])})
 
-    return rows.select("cell", "token", "k1", "n", "m", "pos", "hot").mapInArrow(run, "token long, k1 long, n long, m long, pos int")
+    return rows.select("token", "k1", "n", "m", "common", "pos", "hot").mapInArrow(run, "token long, k1 long, n int, m int, pos int, py long, pn int")
 
 
-def _across(postings: DataFrame) -> DataFrame:
-    """Pairs (x no shorter than y) of different components that share at least L prefix shingles."""
-    spark = postings.sparkSession
-    mixed = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n_token")).where("lo <> hi").select("token", "n_token")
-    rows = postings.join(mixed, "token")
-    # very frequent shingles are compared block by block, each pair of blocks in one group
-    blocks = F.ceil(F.col("n_token") / HOT).cast("int")
-    mine = F.pmod(F.xxhash64("k1"), blocks).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least(j, mine) * blocks + F.greatest(j, mine))
-    rows = rows.withColumn("block", mine).withColumn("pair", F.explode(pair)).withColumn("cell", F.xxhash64("token", "pair"))
-    rows = rows.select("cell", "comp", "k1", "n", "m", "pos", "block").repartition(partitions(spark), "cell").sortWithinPartitions("cell", "comp", "k1")
+def _mixed(known: DataFrame) -> DataFrame:
+    """Entries of shingles that sets of several components hold, with the number of those sets, in a stored table."""
+    several = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n_token")).where("lo <> hi")
+    several = stored(several.select("token", "n_token"), "several")  # so the join can split hot shingles
+    mixed = stored(known.join(several, "token"), "mixed")
+    discard(several)
+    return mixed
+
+
+def _meetings(x: dict[str, np.ndarray], start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (longer or equal, shorter) of entries of one cell and different components that prefixes and sizes allow.
+
+    Entries are sorted by cell, component and set.  A cell that holds two blocks of a hot shingle only pairs across these.
+    """
+    cell, comp, k, n, m, pos, block = (x[c] for c in ("cell", "comp", "k1", "n", "m", "pos", "block"))
+    n, m, pos = n.astype(np.int64), m.astype(np.int64), pos.astype(np.int64)
+    lead = [np.maximum(1, pos + 1 - (n - o(n))) for o in (overlap_longer, overlap_shorter)]
+    end = np.append(start[1:], len(comp))
+    two = np.minimum.reduceat(block, start) != np.maximum.reduceat(block, start)
+    # entries of one component are neighbours: each entry meets those after its component's last
+    last = np.append(np.flatnonzero((comp[1:] != comp[:-1]) | (cell[1:] != cell[:-1])) + 1, len(comp))
+    run_of = np.searchsorted(last, np.arange(len(comp)), "right")
+    cell_of = np.repeat(np.arange(len(start)), end - start)
+    count = end[cell_of] - last[run_of]
+    total = np.append(0, np.cumsum(count))
+    lo = 0
+    while lo < len(comp):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PAIRS, "right")) - 1)
+        i = np.repeat(np.arange(lo, hi), count[lo:hi])
+        j = t.ranges(last[run_of[lo:hi]], count[lo:hi])
+        swap = (n[i] < n[j]) | ((n[i] == n[j]) & (k[i] < k[j]))
+        big, small = np.where(swap, j, i), np.where(swap, i, j)
+        ok = (4 * n[small] >= 3 * n[big]) & (lead[0][big] <= m[big]) & (lead[1][small] <= m[big]) & ((block[big] != block[small]) | ~two[cell_of[big]])
+        if ok.any():
+            yield big[ok], small[ok]
+        lo = hi
+
+
+def _light(mixed: DataFrame) -> DataFrame:
+    """Pairs (x no shorter than y) of different components that share at least L prefix shingles, of those few sets hold."""
+    rows = mixed.where(F.col("n_token") <= LIGHT).withColumns({"cell": F.col("token"), "block": F.lit(0)})
+    rows = rows.select("cell", "comp", "k1", "n", "m", "pos", "block").repartition(partitions(mixed.sparkSession), "cell").sortWithinPartitions("cell", "comp", "k1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, start in _groups(batches, "cell"):
-            comp, k, n, m, pos, other = (x[c] for c in ("comp", "k1", "n", "m", "pos", "block"))
-            lead = [np.maximum(1, pos + 1 - (n - o(n))) for o in (overlap_longer, overlap_shorter)]
-            end = np.append(start[1:], len(comp))
-            mixed = np.minimum.reduceat(other, start) != np.maximum.reduceat(other, start)
-            # entries of one component are neighbours: each entry meets those after its component's last
-            last = np.append(np.flatnonzero((comp[1:] != comp[:-1]) | (x["cell"][1:] != x["cell"][:-1])) + 1, len(comp))
-            run_of = np.searchsorted(last, np.arange(len(comp)), "right")
-            cell_of = np.repeat(np.arange(len(start)), end - start)
-            count = end[cell_of] - last[run_of]
-            total = np.append(0, np.cumsum(count))
-            lo = 0
-            while lo < len(comp):
-                hi = max(lo + 1, int(np.searchsorted(total, total[lo] + 1_000_000, "right")) - 1)
-                i = np.repeat(np.arange(lo, hi), count[lo:hi])
-                j = t.ranges(last[run_of[lo:hi]], count[lo:hi])
-                swap = (n[i] < n[j]) | ((n[i] == n[j]) & (k[i] < k[j]))
-                big, small = np.where(swap, j, i), np.where(swap, i, j)
-                ok = (4 * n[small] >= 3 * n[big]) & (lead[0][big] <= m[big]) & (lead[1][small] <= m[big]) & ((other[big] != other[small]) | ~mixed[cell_of[big]])
-                if ok.any():
-                    big, small = big[ok], small[ok]
-                    yield pa.RecordBatch.from_pydict({"x": pa.array(k[big]), "y": pa.array(k[small]), "m": pa.array(m[big]), "nx": pa.array(n[big]), "ny": pa.array(n[small]), "px": pa.array(pos[big]), "py": pa.array(pos[small])})
-                lo = hi
-
-    pairs = rows.mapInArrow(run, "x long, y long, m long, nx long, ny long, px int, py int")
+            for big, small in _meetings(x, start):
+                yield pa.RecordBatch.from_pydict({"x": pa.array(x["k1"][big]), "y": pa.array(x["k1"][small]), "m": pa.array(x["m"][big]), "nx": pa.array(x["n"][big]), "ny": pa.array(x["n"][small]), "px": pa.array(x["pos"][big]), "py": pa.array(x["pos"][small])})
+
+    pairs = rows.mapInArrow(run, "x long, y long, m int, nx int, ny int, px int, py int")
+    # a pair that also shares a shingle of many sets is judged there, whatever its count is here
     pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("got"), *(F.max(c).alias(c) for c in ("m", "nx", "ny", "px", "py"))).where("got >= m")
     # what may still be shared: nothing up to the earlier prefix's end but what was found, nothing before the last found
     rest_x, rest_y = F.expr("nx - least(nx, nx - ceil(3 * nx / 4) + m)"), F.expr("ny - least(ny, ny - ceil(6 * ny / 7) + m)")
@@ -266,18 +312,89 @@ def _across(postings: DataFrame) -> DataFrame:
     return pairs.where(7 * most >= 3 * (F.col("nx") + F.col("ny"))).select("x", "y")
 
 
+class Bitmaps:
+    """Bitmaps of some entries by width, each also folded to the next lesser width."""
+
+    def __init__(self, bits: np.ndarray, n: np.ndarray):
+        self.known = np.array([b is not None for b in bits])
+        self.kind = width_class(n)
+        self.row = np.zeros(len(n), np.int64)
+        self.whole, self.folded = {}, {}
+        for c in np.unique(self.kind).tolist():
+            on = np.flatnonzero(self.kind == c)
+            self.row[on] = np.arange(len(on))
+            self.whole[c] = np.frombuffer(b"".join(b or bytes(WIDTHS[c] // 8) for b in bits[on]), np.uint64).reshape(len(on), -1)
+            if c:
+                self.folded[c] = np.bitwise_xor.reduce(self.whole[c].reshape(len(on), WIDTHS[c] // WIDTHS[c - 1], -1), axis=1)
+
+    def differences(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """A lower bound of the shingles that only one set of each pair holds; sizes differ by at most a third."""
+        out = np.zeros(len(i), np.int64)
+        for a in np.unique(self.kind[i]).tolist():
+            for b in {a - 1, a, a + 1} & set(self.whole):
+                on = np.flatnonzero((self.kind[i] == a) & (self.kind[j] == b))
+                one, two = (self.whole[a], self.whole[b]) if a == b else (self.folded[a], self.whole[b]) if a > b else (self.whole[a], self.folded[b])
+                step = max(1, (4 << 20) // (one.shape[1] * 8))
+                for k in range(0, len(on), step):
+                    part = on[k : k + step]
+                    out[part] = np.bitwise_count(one[self.row[i[part]]] ^ two[self.row[j[part]]]).sum(1)
+        out[~(self.known[i] & self.known[j])] = 0
+        return out
+
+
+def _dense(mixed: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs (x no shorter than y) of different components that share a prefix shingle of more than LIGHT sets and that
+    bitmaps don't rule out."""
+    many = mixed.where(F.col("n_token") > LIGHT)
+    held = F.sort_array(F.collect_list(F.struct("pos", "token", "n_token")))
+    sets = many.groupBy("k1").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("comp").alias("comp"), held.alias("held")).join(bits, "k1")
+    rows = sets.select("k1", "n", "m", "comp", "bits", F.slice(F.transform("held", lambda h: h["token"]), 1, LEAD).alias("lead"), F.explode("held").alias("h")).select("*", "h.pos", "h.token", "h.n_token")
+    # very frequent shingles are compared block by block, each pair of blocks in one group
+    blocks = F.ceil(F.col("n_token") / HOT).cast("int")
+    mine = F.pmod(F.xxhash64("k1"), blocks).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least(j, mine) * blocks + F.greatest(j, mine))
+    rows = rows.withColumn("block", mine).withColumn("pair", F.explode(pair)).withColumn("cell", F.xxhash64("token", "pair"))
+    rows = rows.select("cell", "token", "comp", "k1", "n", "m", "pos", "block", "lead", "bits").repartition(partitions(mixed.sparkSession), "cell").sortWithinPartitions("cell", "comp", "k1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, start in _groups(batches, "cell"):
+            n, k, token = x["n"].astype(np.int64), x["k1"], x["token"]
+            maps = Bitmaps(x["bits"], n)
+            lead = np.zeros((len(n), LEAD), np.int64)
+            used = np.array([len(v) for v in x["lead"]])
+            lead[np.arange(LEAD) < used[:, None]] = np.concatenate(x["lead"])
+            for big, small in _meetings(x, start):
+                ok = 7 * maps.differences(big, small) <= n[big] + n[small]
+                big, small = big[ok], small[ok]
+                # the first shingle that both have among their LEAD ones gives the pair; others need not
+                mine = np.ones(len(big), bool)
+                for a in range(0, len(big), 1 << 14):
+                    p, q = lead[big[a : a + (1 << 14)]], lead[small[a : a + (1 << 14)]]
+                    same = (p[:, :, None] == q[:, None, :]) & (np.arange(LEAD) < used[big[a : a + (1 << 14)], None])[:, :, None] & (np.arange(LEAD) < used[small[a : a + (1 << 14)], None])[:, None, :]
+                    at = same.any(2)
+                    mine[a : a + (1 << 14)] = ~at.any(1) | (p[np.arange(len(p)), at.argmax(1)] == token[big[a : a + (1 << 14)]])
+                if mine.any():
+                    yield pa.RecordBatch.from_pydict({"x": pa.array(k[big[mine]]), "y": pa.array(k[small[mine]])})
+
+    return rows.mapInArrow(run, "x long, y long")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
     """Of the pairs (x, y) of first digests, the links (a, b) of whole digests; each set is read from its whole text."""
     spark = docs.sparkSession
-    cells = pairs.select(F.explode(F.array("x", "y")).alias("k")).select((F.col("k").bitwiseAND((1 << NEEDED_BITS) - 1)).cast("int").alias("c")).distinct().toArrow().column("c").to_numpy()
-    table = np.zeros(1 << NEEDED_BITS, bool)
-    table[cells] = True
+    size = pairs.count()
+    bits = min(MOST_BITS + 3, max(16, (256 * size).bit_length()))
+    low = (1 << bits) - 1
+    need = pairs.select(F.explode(F.array("x", "y")).alias("k")).select(F.col("k").bitwiseAND(low).cast("int").alias("c")).distinct()
+    table = np.zeros(1 << bits, bool)
+    for part in need.select("c").toArrow().column("c").chunks:
+        table[part.to_numpy()] = True
     needed = spark.sparkContext.broadcast(np.packbits(table))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = np.unpackbits(needed.value).astype(bool), set()
         for _, s in _batches(batches, "text", None):
-            on = np.flatnonzero(table[s.key1 & ((1 << NEEDED_BITS) - 1)] & (s.size > 0))
+            on = np.flatnonzero(table[s.key1 & low] & (s.size > 0))
             on = np.array([i for i in on.tolist() if not ((k := (int(s.key1[i]), int(s.key2[i]))) in seen or seen.add(k))], np.int64)
             if len(on):
                 yield pa.RecordBatch.from_pydict({"k1": pa.array(s.key1[on]), "k2": pa.array(s.key2[on]), "set": pa.array([s.hash[s.first[i] : s.first[i + 1]].tobytes() for i in on], pa.binary())})
@@ -319,34 +436,25 @@ def _first_digest(node: F.Column) -> F.Column:
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def _labelled(postings: DataFrame, comp: DataFrame | None) -> DataFrame:
+def _labelled(postings: DataFrame, comp: DataFrame) -> DataFrame:
     """Postings with their sets' components so far."""
-    alone = F.xxhash64("k1")
-    if comp is None:
-        return postings.withColumn("comp", alone)
+    postings, alone = postings.drop("py", "pn"), F.xxhash64("k1")
     of = comp.select(_first_digest(F.col("node")).alias("k1"), F.xxhash64("comp").alias("comp"))
     return postings.join(of, "k1", "left").withColumn("comp", F.coalesce("comp", alone))
 
 
-def _star(known: DataFrame, turn: int) -> DataFrame:
-    """A few pairs (x, y) for each set: y is a pivot, of another component, that shares most prefix shingles with x.
+def _star(postings: DataFrame) -> DataFrame:
+    """A pair (x, y) for each set: y is the pivot that shares most prefix shingles with x.
 
-    A shingle's pivots are the sets of least hash, under one hash in the first turn and SEEDS others in each later
-    turn.  Sets that share few shingles are left out, as these pairs only serve to join groups of copies early.
+    Sets that share few shingles are left out, as these pairs only serve to join groups of copies early.
     """
-    seeds = range(1) if not turn else range(1 + (turn - 1) * SEEDS, 1 + turn * SEEDS)
-    least = [F.min(F.struct(F.xxhash64("k1", F.lit(s)).alias("h"), F.lit(s).alias("seed"), F.col("k1").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))).alias(f"p{s}") for s in seeds]
-    pivot = known.groupBy("token").agg(*least, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    pivot = pivot.select("token", F.explode(F.array(*(f"p{s}" for s in seeds))).alias("p")).select("token", "p.seed", "p.y", "p.ny", "p.cy")
-    met = known.join(pivot, "token").where("comp <> cy and 4 * least(n, ny) >= 3 * greatest(n, ny)")
-    met = met.groupBy("k1", "y", "seed").agg(F.count("*").alias("got"), F.max("n").alias("n")).where("16 * got >= n")
-    return met.groupBy("k1", "seed").agg(F.max(F.struct("got", "y")).alias("best")).select(F.col("k1").alias("x"), F.col("best.y").alias("y")).distinct()
-
-
-def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """Pairs that no earlier turn has verified, in either direction."""
-    if tried is None:
-        return pairs
+    met = postings.where("k1 <> py and 4 * least(n, pn) >= 3 * greatest(n, pn)")
+    met = met.groupBy("k1", F.col("py").alias("y")).agg(F.count("*").alias("got"), F.max("n").alias("n")).where("16 * got >= n")
+    return met.groupBy("k1").agg(F.max(F.struct("got", "y")).alias("best")).select(F.col("k1").alias("x"), F.col("best.y").alias("y"))
+
+
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs that are not verified yet, in either direction."""
     done = tried.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return pairs.withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")}).join(done, ["a", "b"], "left_anti").select("x", "y")
 
@@ -361,26 +469,25 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
     full = stored(signatures(docs, doc_id, text, counts), "signature")
     postings = stored(_shared_postings(full), "postings")
     signature = stored(full.select("doc_id", "n", "k1", "k2"), "signature")
+    # sets whose first digests clash have no bitmap, so nothing rules them out
+    one = F.when(F.min("bits") == F.max("bits"), F.min("bits"))
+    bits = stored(full.where("bits is not null").join(postings.select("k1").distinct(), "k1", "left_semi").groupBy("k1").agg(one.alias("bits")), "bits")
     discard(full)
-    comp, links, tried = None, None, None
-    for turn in range(ROUNDS):
-        pairs = stored(_untried(_star(_labelled(postings, comp), turn), tried), "star")
-        new = verified(docs, pairs, text)
-        tried = pairs if tried is None else tried.union(pairs)
-        links = new if links is None else links.union(new)
-        if comp is not None:
-            discard(comp)
-        comp = components(links)
-        if not new.limit(1).count():
-            break
-    pairs = stored(_untried(_across(_labelled(postings, comp)), tried), "pairs")
-    final = components(links.union(verified(docs, pairs, text)))
-    for x in (pairs, tried, postings, comp):
+    star = stored(_star(postings), "pairs")
+    near = verified(docs, star, text)
+    comp = components(near)
+    mixed = _mixed(_labelled(postings, comp))
+    pairs = stored(_untried(_dense(mixed, bits).union(_light(mixed)).distinct(), star), "pairs")
+    far = verified(docs, pairs, text)
+    final = components(near.union(far))
+    for x in (postings, bits, star, near, comp, mixed, pairs, far):
         discard(x)
     rows = signature.select("doc_id", "n", _node("k1", "k2").alias("node"))
     # copies of one set first, then the sets of a component: no group of rows meets in one task
     ids = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    return rows, ids, ids.groupBy("comp").agg(F.min("least").alias("component_id"))
+    ids = stored(ids, "ids")
+    discard(final)
+    return rows, ids, stored(ids.groupBy("comp").agg(F.min("least").alias("component_id")), "least")  # a stored side lets the join split a large component
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
