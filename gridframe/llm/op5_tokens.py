@@ -22,7 +22,9 @@ columns are not read.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the pattern that splits text before merges, published with this vocabulary
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("start", "most", "split")
+# runs of white space (Unicode's, as in the pattern) that are too long for the pattern's matcher
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 class Encoder:
@@ -46,9 +50,26 @@ class Encoder:
         self.bytes = np.zeros(max(ranks.values()) + 1, np.int64)
         self.bytes[list(ranks.values())] = [len(x) for x in ranks]
 
+    def encode(self, text: str) -> list[int]:
+        """Tokens of a whole text.  The pattern makes one piece of a run of white space, but for its last sign if more
+        text follows; very long runs are cut out as such pieces here."""
+        out, at = [], 0
+        for run in BLANKS.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += self.encoding.encode_ordinary(text[at : run.start()])
+            out += self.encoding._encode_single_piece(text[run.start() : end])
+            at = end
+        return out + self.encoding.encode_ordinary(text[at:])
+
     def ends(self, text: str) -> np.ndarray:
         """Where each token of the text ends, in bytes."""
-        return np.cumsum(self.bytes[np.array(self.encoding.encode_ordinary(text), np.int64)])
+        return np.cumsum(self.bytes[np.array(self.encode(text), np.int64)])
+
+
+@lru_cache(maxsize=1)
+def encoder_of(file: bytes) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    return Encoder(file)
 
 
 def attribute(ends: np.ndarray, starts: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +105,7 @@ def count_tokens(rows: DataFrame, *, row_id: str = "doc_id", fields: Sequence[st
     names, glue = list(fields), joint.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = encoder_of(shared.value)
         for batch in batches:
             ids = batch.column("_id")
             out: list[list] = [[] for _ in range(7)]
