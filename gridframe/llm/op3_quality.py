@@ -211,7 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, *, learn: Column, label: str = "qu
             x = _features_of(batch.column("_text"))
             yield pa.RecordBatch.from_pydict({"_id": batch.column("_id").cast(pa.string()), "y": batch.column("_y"), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
-    got = found.mapInArrow(run, "_id string, y int, x array<double>").collect()
+    # rows of one id are one row, the least, so what comes to the driver is bounded
+    got = found.mapInArrow(run, "_id string, y int, x array<double>").groupBy("_id").agg(F.min(F.struct("y", "x")).alias("r")).select("_id", "r.*").collect()
     got.sort(key=lambda r: (r._id or "", r.y, r.x))
     x = np.array([r.x for r in got]).reshape(len(got), len(FEATURES))
     return Model(x, np.array([r.y for r in got], float))
