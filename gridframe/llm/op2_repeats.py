@@ -19,6 +19,10 @@ cut into slices of SLICE neighbouring ``a``, which share all but 2 * SLICE bytes
 the shared bytes takes the gram's place.  Slices that occur once are done.  Only if a slice is
 still hot are its strings themselves grouped by digest, counted with partial sums.
 
+Apart from bytes, passages are found: runs of PASSAGE words (white space aside, A-Z in lower case) that another text
+holds too, however few bytes they have.  Again each run of words has an anchor; only runs whose anchor is shared are
+compared, by 64-bit hashes.
+
 Defined results: a null text is empty; a text that occurs in two rows is
 repeated as a whole if it has ``length`` bytes; strings never cross texts; overlaps
 within one text count; ids may repeat or be null; other columns are not read.
@@ -43,6 +47,8 @@ GRAM = 64
 BUCKET = 12_000  # anchors in a bucket
 HOT = 40_000  # anchors of one gram that one task may hold
 SLICE = 32
+PASSAGE = 50  # words of the shortest passage
+SHINGLE = 8  # words of a passage's anchor
 PIECE = 4 << 20  # a longer text is searched piece by piece
 BROADCAST_ROWS = 100_000
 
@@ -90,8 +96,36 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int =
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
+def least_places(key: np.ndarray, w: int) -> np.ndarray:
+    """Where the least of each w neighbours is; keys are distinct."""
+    pad = -len(key) % w
+    order = np.argsort(key, kind="stable")
+    rank = np.empty(len(key) + pad, np.int64)
+    rank[order], rank[len(key) :] = np.arange(len(key)), len(key)
+    rows = rank.reshape(-1, w)
+    ahead = np.minimum.accumulate(rows, axis=1).ravel()
+    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    count = len(key) - w + 1
+    return order[np.minimum(behind[:count], ahead[w - 1 : w - 1 + count])]
+
+
+def word_anchors(w: t.Words) -> tuple[np.ndarray, ...]:
+    """(text, anchor's hash, first and last run) of all runs of PASSAGE words; a run is named by its first word in its text."""
+    runs = np.maximum(0, np.diff(w.first) - PASSAGE + 1)
+    s = t.ranges(w.first[:-1], runs)
+    if not len(s):
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    h = t.sequence_hash(w.hash, SHINGLE)
+    p = least_places(h, PASSAGE - SHINGLE + 1)[s]
+    owner = np.repeat(np.arange(len(runs)), runs)
+    new = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (owner[1:] != owner[:-1])))
+    last = np.append(new[1:], len(s)) - 1
+    base = w.first[owner[new]]
+    return owner[new], h[p[new]].view(np.int64), s[new] - base, s[last] - base
+
+
 def _signatures(docs: DataFrame, length: int) -> DataFrame:
-    """Per row: id, digest, size, and the anchors (only at a text's first row in each partition)."""
+    """Per row: id, digest, size, number of words, and the anchors (only at a text's first row in each partition)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -99,22 +133,59 @@ def _signatures(docs: DataFrame, length: int) -> DataFrame:
             buf, offs = t.texts(batch.column("text"))
             for a, b in t.chunks(offs):
                 o = offs[a : b + 1] - offs[a]
-                doc, gram, place, lo, hi = anchors(buf[offs[a] : offs[b]], o, length)
-                cut = np.searchsorted(doc, np.arange(b - a + 1))
+                w = t.Words(buf[offs[a] : offs[b]], o, t.NON_SPACE)
                 keys = batch.column("key").slice(a, b - a)
-                count = np.diff(cut)
+                twin = np.zeros(b - a, bool)
                 for i, k in enumerate(keys.to_pylist()):
-                    if count[i]:
-                        k = bytes.fromhex(k)
-                        if k in seen:
-                            count[i] = 0
-                        seen.add(k)
-                take = t.ranges(cut[:-1], count)
-                ends = pa.array(np.append(0, np.cumsum(count)), pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x[take], kind)) for x, kind in ((gram, pa.int64()), (place, pa.int32()), (lo, pa.int32()), (hi, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), keys, pa.array(np.diff(o)), *lists], ["id", "key", "n_bytes", "gram", "place", "lo", "hi"])
+                    k = bytes.fromhex(k)
+                    twin[i] = k in seen
+                    seen.add(k)
+                lists = []
+                for doc, gram, *places in (anchors(buf[offs[a] : offs[b]], o, length), word_anchors(w)):
+                    cut = np.searchsorted(doc, np.arange(b - a + 1))
+                    count = np.where(twin, 0, np.diff(cut))
+                    take = t.ranges(cut[:-1], count)
+                    ends = pa.array(np.append(0, np.cumsum(count)), pa.int32())
+                    lists += [pa.ListArray.from_arrays(ends, pa.array(x[take], kind)) for x, kind in ((gram, pa.int64()), *((x, pa.int32()) for x in places))]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), keys, pa.array(np.diff(o)), pa.array(np.diff(w.first)), *lists], ["id", "key", "n_bytes", "n_words", "gram", "place", "lo", "hi", "word_gram", "first", "last"])
+
+    return docs.mapInArrow(run, "id string, key string, n_bytes long, n_words long, gram array<long>, place array<int>, lo array<int>, hi array<int>, word_gram array<long>, first array<int>, last array<int>")
+
+
+def _passages(one: DataFrame, body_of: DataFrame) -> DataFrame:
+    """(key, n_passage_words) of the texts that hold a run of PASSAGE words of another text, in a stored table; ``one`` has the word anchors
+    of each text, ``body_of`` its rows."""
+    each = one.select("key", "id", F.explode(F.arrays_zip("word_gram", "first", "last")).alias("x")).select("key", "id", "x.*")
+    often = stored(each.groupBy("word_gram").agg(F.count("*").alias("n")).where("n > 1").select("word_gram"), "often")
+    shared = each.join(often, "word_gram").groupBy("key", "id").agg(F.collect_list(F.struct("first", "last")).alias("found"))
 
-    return docs.mapInArrow(run, "id string, key string, n_bytes long, gram array<long>, place array<int>, lo array<int>, hi array<int>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = t.texts(batch.column("text"))
+            found = batch.column("found")
+            flat, n = found.flatten(), found.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            cut = np.append(0, np.cumsum(n))
+            first, last = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "last"))
+            key = np.array([int(k[:16], 16) for k in batch.column("key").to_pylist()], np.uint64).view(np.int64)
+            for a, b in t.chunks(offs):
+                w = t.Words(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], t.NON_SPACE)
+                at, owner = slice(cut[a], cut[b]), np.repeat(np.arange(a, b), n[a:b])
+                place = t.ranges(first[at], last[at] - first[at] + 1)
+                owner = np.repeat(owner, last[at] - first[at] + 1)
+                h = t.sequence_hash(w.hash, PASSAGE)[w.first[owner - a] + place]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key[owner]), pa.array(place, pa.int32())], ["h", "k", "place"])
+
+    runs = stored(body_of.join(shared, ["key", "id"]).select("key", "text", "found").mapInArrow(run, "h long, k long, place int"), "runs")
+    twice = stored(runs.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("h"), "twice")
+    places = runs.join(twice, "h").groupBy("k").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    none = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    words = F.aggregate("places", none, lambda x, p: F.struct((p + PASSAGE).alias("end"), (x["n"] + PASSAGE - F.greatest(F.lit(0), x["end"] - p)).alias("n")))["n"]
+    half = F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.conv(F.substring("key", 9, 8), 16, 10).cast("long")
+    named = one.select("key", F.shiftleft(half[0], 32).bitwiseOR(half[1]).alias("k"))
+    out = stored(named.join(places.select("k", words.alias("n_passage_words")), "k").select("key", "n_passage_words"), "passages")
+    for x in (often, runs, twice):
+        discard(x)
+    return out
 
 
 def _contexts(rows: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -241,12 +312,12 @@ def _found(contexts: DataFrame, length: int) -> DataFrame:
 
 def _found_hot(slices: DataFrame, buckets: int, length: int, hot: int) -> DataFrame:
     """The same of hot grams' slices."""
-    often = slices.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    often = stored(slices.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "often")
     again = slices.join(often, "gram")
     out = _found(again.where(F.col("n") <= hot).select(F.pmod("gram", F.lit(buckets)).alias("bucket"), "gram", "key", "place", "left", "bytes"), length)
     each = again.where(F.col("n") > hot).select("key", (F.col("place") - F.col("left")).alias("first"), "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("k"))
     each = each.select("key", (F.col("first") + F.col("k")).alias("from"), F.sha2(F.substring(F.col("bytes"), F.col("k") + 1, F.lit(length)), 256).alias("digest"))
-    twice = each.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    twice = stored(each.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "twice")
     return out.union(each.join(twice, "digest").select("key", "from", F.col("from").alias("to")))
 
 
@@ -262,16 +333,21 @@ def _spans(starts: list[dict], length: int) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, bucket_rows: int = BUCKET) -> DataFrame:
-    """(doc_id, kept, spans) of every row: the bytes left, and the removed runs (start, end)."""
+    """(doc_id, kept, spans, n_passage_words) of every row: the bytes left, the removed runs (start, end), and how many words
+    lie in passages that another row holds too."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     named = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), body.alias("text"), F.md5(body.cast("binary")).alias("key"))
     full = stored(_signatures(named.select("id", "text", "key"), length), "anchors")
-    copies = full.groupBy("key").agg(F.count("*").alias("n"), F.max("n_bytes").alias("n_bytes"))
-    whole = copies.where((F.col("n") > 1) & (F.col("n_bytes") >= length)).select("key")
-    holder = full.where(F.size("gram") > 0).groupBy("key").agg(F.min("id").alias("id"))
-    one = full.join(holder, ["key", "id"]).select("key", "id", F.explode(F.arrays_zip("gram", "place", "lo", "hi")).alias("x")).select("key", "id", "x.*")
-    often = one.groupBy("gram").agg(F.count("*").alias("n_gram")).where("n_gram > 1")
-    shared = one.join(often, "gram").select("key", "id", F.struct("gram", "place", "lo", "hi", (F.col("n_gram") > hot).alias("hot")).alias("x"))
+    # texts that occur in several rows, and one row of each text with its anchors
+    copies = full.groupBy("key").agg(F.count("*").alias("n"), F.max("n_bytes").alias("n_bytes"), F.max("n_words").alias("n_words")).where("n > 1")
+    whole = stored(copies.select("key", (F.col("n_bytes") >= length).alias("whole"), F.when(F.col("n_words") >= PASSAGE, F.col("n_words")).alias("all_words")), "whole")
+    lists = F.struct("id", "gram", "place", "lo", "hi", "word_gram", "first", "last")
+    one = stored(full.where((F.size("gram") > 0) | (F.size("word_gram") > 0)).groupBy("key").agg(F.min(lists).alias("r")).select("key", "r.*"), "texts")
+    discard(full)
+    passages = _passages(one.where(F.size("word_gram") > 0), named.select("key", "id", "text"))
+    one_gram = one.select("key", "id", F.explode(F.arrays_zip("gram", "place", "lo", "hi")).alias("x")).select("key", "id", "x.*")
+    often = stored(one_gram.groupBy("gram").agg(F.count("*").alias("n_gram")).where("n_gram > 1"), "often")  # stored, so the join can split a hot gram
+    shared = one_gram.join(often, "gram").select("key", "id", F.struct("gram", "place", "lo", "hi", (F.col("n_gram") > hot).alias("hot")).alias("x"))
     shared = stored(shared.groupBy("key", "id").agg(F.collect_list("x").alias("found")), "shared")
     buckets = max(1, (shared.agg(F.sum(F.size("found"))).first()[0] or 0) // bucket_rows)
     body_of = named.select("key", "id", "text")
@@ -288,13 +364,14 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         slices = None
     found = stored(found, "found")
     starts = found.groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("starts"))
-    verdict = stored(starts.join(whole.withColumn("whole", F.lit(True)), "key", "full").withColumn("whole", F.coalesce("whole", F.lit(False))), "verdict")
-    for x in filter(None, (full, shared, found, slices)):
+    verdict = starts.join(whole, "key", "full").join(passages, "key", "full").select("key", "starts", F.coalesce("whole", F.lit(False)).alias("whole"), F.coalesce("all_words", "n_passage_words", F.lit(0)).alias("n_passage_words"))
+    verdict = stored(verdict, "verdict")
+    for x in filter(None, (whole, one, passages, often, shared, found, slices)):
         discard(x)
     small = verdict.agg(F.count("*"), F.sum(F.coalesce(F.size("starts"), F.lit(0)))).first()
     # broadcast only what has been counted to be small
     verdict = F.broadcast(verdict) if (small[0] or 0) + (small[1] or 0) <= BROADCAST_ROWS else verdict
-    rows = named.select("doc_id", "key", "text").join(verdict, "key", "left").select("doc_id", "text", "whole", "starts")
+    rows = named.select("doc_id", "key", "text").join(verdict, "key", "left").select("doc_id", "text", "whole", "starts", F.coalesce("n_passage_words", F.lit(0)).cast("long").alias("n_passage_words"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,7 +384,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                 kept.append(b"".join(raw[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)))
                 spans.append([{"start": a, "end": b} for a, b in runs])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(spans, kind)], ["doc_id", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(spans, kind), batch.column("n_passage_words")], ["doc_id", "kept", "spans", "n_passage_words"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return rows.mapInArrow(cut, f"doc_id {kind}, kept binary, spans array<struct<start:bigint,end:bigint>>")
+    return rows.mapInArrow(cut, f"doc_id {kind}, kept binary, spans array<struct<start:bigint,end:bigint>>, n_passage_words long")

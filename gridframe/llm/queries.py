@@ -23,7 +23,7 @@ def op1_pack_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = op2_repeats.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return out.select("doc_id", (F.length("kept") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", (F.length("kept") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")
 
 
 def op3_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
