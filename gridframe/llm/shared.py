@@ -7,7 +7,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: rows and bytes that a Python worker gets at once; texts are wide, so the defaults of 10,000 rows and 64 MB would decide its memory
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -24,6 +34,7 @@ def scratch(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: a lost executor costs no earlier stage."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     # shuffle files go once the driver's garbage that refers to them is collected; earlier steps' are of no use any more
     spark.sparkContext._jvm.System.gc()
