@@ -9,7 +9,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gridframe.llm import bwt, components, op1_pack, op2_repeats, op3_quality, op4_jaccard, op5_tokens, op6_secrets, op7_decontaminate, op8_pii, op9_search, op10_toxicity, queries, shared
 from gridframe.llm import textops as t
@@ -147,12 +149,23 @@ def removed(rows, length):
     return out
 
 
+def passage_words(rows, n):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", low(x or "")) for _, x in rows]
+    seen = Counter(run for w in words for run in {tuple(w[i : i + n]) for i in range(len(w) - n + 1)})
+    out = Counter()
+    for (doc_id, _), w in zip(rows, words, strict=True):
+        hit = {p for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1 for p in range(i, i + n)}
+        out[str(doc_id), len(hit)] += 1
+    return out
+
+
 @pytest.mark.parametrize("hot", [40_000, 20, 2])
 def test_repeats(docs, empty, hot):
     rows = corpus()
     want = Counter((str(i), *x) for (i, _), x in zip(rows, removed(rows, 400), strict=True))
     got = op2_repeats.remove_repeats(docs, hot=hot, bucket_rows=50).collect()
     assert Counter((str(r.doc_id), bytes(r.kept), len(r.spans)) for r in got) == want
+    assert Counter((str(r.doc_id), r.n_passage_words) for r in got) == passage_words(rows, 50)
     if hot == 20:
         assert op2_repeats.remove_repeats(empty).count() == 0
 
@@ -297,11 +310,74 @@ def test_longer_prefixes_lose_nothing(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     for most in (1, 3):
         monkeypatch.setattr(op4_jaccard, "choose_matches", lambda n, p, most=most: min(most, int(-(-3 * n // 4))))
-        monkeypatch.setattr(op4_jaccard, "ROUNDS", 1)
         got = op4_jaccard.near_duplicates(frame).collect()
         assert counted(got, "doc_id", "n_shingles", "component_id") == Counter(linked(rows))
 
 
+def test_hot_shingles_and_wide_groups(spark, monkeypatch):
+    """Bounds set so low that shingles are dealt out, cut into blocks, compared by bitmaps and verified in small teams."""
+    r = random.Random(10)
+    rows = []
+    for base in ([str(r.randrange(10**6)) for _ in range(n)] for n in (40, 300, 1200)):
+        for _ in range(25):
+            x = list(base)
+            for _ in range(r.randint(0, len(base) // 25)):
+                x[r.randrange(len(x))] = str(r.randrange(10**6))
+            rows.append((len(rows), " ".join(x)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter(linked(rows))
+    assert len({c for _, _, c in want}) > 3
+    for light, hot in ((2, 2), (10**6, 10**6)):
+        for name, value in (("LIGHT", light), ("HOT", hot), ("GROUP", 2), ("SPREAD", 2), ("LEAD", 3), ("PAIRS", 50)):
+            monkeypatch.setattr(op4_jaccard, name, value)
+        # without pivots every link is left to the pairs across components
+        monkeypatch.setattr(op4_jaccard, "_star", lambda postings: postings.select(F.col("k1").alias("x"), F.col("k1").alias("y")).limit(0))
+        assert counted(op4_jaccard.near_duplicates(frame).collect(), "doc_id", "n_shingles", "component_id") == want
+
+
+def test_bitmaps_never_overstate():
+    r = random.Random(11)
+    sizes = [60, 200, 256, 257, 300, 1024, 1025, 1300]
+    texts = []
+    for n in sizes:
+        base = [str(r.randrange(10**6)) for _ in range(n + 4)]
+        texts += [" ".join(base), " ".join(base[: len(base) * 5 // 6]), " ".join(base[len(base) // 5 :])]
+    buf, offs = t.texts(pa.array(texts))
+    s = op4_jaccard.Sets(buf, offs, None)
+    maps = op4_jaccard.Bitmaps(np.array(s.bitmaps().to_pylist(), object), s.size)
+    i, j = (x.ravel() for x in np.indices((len(texts), len(texts))))
+    ok = 4 * np.minimum(s.size[i], s.size[j]) >= 3 * np.maximum(s.size[i], s.size[j])
+    i, j = i[ok], j[ok]
+    sets = [set(s.hash[a:b].tolist()) for a, b in zip(s.first[:-1], s.first[1:])]
+    real = np.array([len(sets[a] ^ sets[b]) for a, b in zip(i, j)])
+    bound = maps.differences(i, j)
+    assert (bound <= real).all() and (bound[real == 0] == 0).all() and bound.sum() > 0.3 * real.sum()
+
+
+def test_words_of_one_length_that_polynomials_confuse():
+    x = "a"
+    for _ in range(10):
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    words = t.Words(*t.texts(pa.array([f"{x} {y} {x}", "q" * 300 + " " + "q" * 301])), t.NON_SPACE)
+    assert words.hash[0] == words.hash[2] and len(set(words.hash.tolist())) == 4
+    index = op7_decontaminate.Index(["1"], [x], 13)
+    index.choose({})
+    assert index.matches(t.Words(*t.texts(pa.array([y, x])), t.ALNUM))[1].tolist() == [1]
+    # a hash that clashes for all words of one length: bytes decide
+    def clash(low, start, end):
+        return (end - start).astype(np.uint64)
+
+    old, t.word_hashes = t.word_hashes, clash
+    try:
+        index = op7_decontaminate.Index(["1", "2"], ["ab cd ef", "ab cd eg"], 13)
+        index.choose({})
+        window, at = index.matches(t.Words(*t.texts(pa.array(["zz ab cd eg", "ab ce ef"])), t.ALNUM))
+        assert at.tolist() == [1] and index.items[window].tolist() == [1]
+    finally:
+        t.word_hashes = old
+
+
 def test_components(spark):
     edges = [(n, n + 1) for n in range(20)] + [(30, 31), (33, 31), (40, 40)]
     got = {r.node: r.comp for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -311,6 +387,23 @@ def test_components(spark):
 # ---------------------------------------------------------------- 5
 
 
+def test_very_long_blanks_and_words():
+    with open(op5_tokens.TOKENIZER, "rb") as f:
+        encoder = op5_tokens.Encoder(f.read())
+    for text in (" " * 1_000_000, "a" + " " * 1_000_000 + "b", "\u3000" * 400_000, "a" * 1_000_000):
+        assert encoder.ends(text)[-1] == len(text.encode())
+
+
+def test_long_blanks_are_cut_out_as_the_pattern_cuts_them(monkeypatch):
+    monkeypatch.setattr(op5_tokens, "BLANKS", re.compile(op5_tokens.BLANKS.pattern.replace("10000", "3")))
+    with open(op5_tokens.TOKENIZER, "rb") as f:
+        encoder = op5_tokens.Encoder(f.read())
+    r = random.Random(6)
+    for _ in range(300):
+        text = "".join(r.choice([" " * r.randint(1, 40), "\n" * r.randint(1, 9), "\t\u3000\u2009 \xa0", "word", "\u00c9a", "'s", "12", "!?"]) for _ in range(r.randint(1, 9)))
+        assert encoder.encode(text) == encoder.encoding.encode_ordinary(text)
+
+
 @pytest.mark.parametrize("rule", op5_tokens.RULES)
 def test_attribution(rule):
     r = random.Random(5)
