@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridframe.llm import op1_pack, op3_quality, op4_jaccard, op7_decontaminate, op8_pii
 from gridframe.llm.queries import held_out
-from gridframe.llm.shared import stored, table
+from gridframe.llm.shared import discard, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_QUALITY = 0.7
@@ -32,9 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark items."""
+    """Documents without a word inside a window of a benchmark item, however small its share of the document."""
     rows = op7_decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS)
-    return op7_decontaminate.report(rows).where(~F.col("contaminated")).select(*COLUMNS)
+    return op7_decontaminate.report(rows).where("n_hit = 0").select(*COLUMNS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, name)
-    return docs
+    docs, done = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+        if done is not None:
+            discard(done)
+        done = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
