@@ -6,8 +6,13 @@ log(0) into NULL; arrays here follow IEEE instead and know no NULL.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 # value types in order of C's usual conversions
 RANK = {"boolean": 0, "tinyint": 1, "smallint": 2, "int": 3, "bigint": 4, "float": 5, "double": 6}
@@ -43,6 +48,87 @@ def wrapped(c: Column, dtype: str) -> Column:
     return (F.pmod(c + F.lit(half).cast("bigint"), F.lit(1 << n).cast("bigint")) - half).cast(dtype)
 
 
+def signed(c: Column) -> Column:
+    """A whole decimal modulo 2 ** 64, as a bigint in two's complement."""
+    low = F.pmod(c, F.lit(Decimal(1 << 64)))
+    return F.when(low >= F.lit(Decimal(1 << 63)), low - F.lit(Decimal(1 << 64))).otherwise(low).cast("bigint")
+
+
+def add(a: Column, b: Column, dtype: str) -> Column:
+    """a + b, wrapped around for integers."""
+    if is_float(dtype):
+        return (a + b).cast(dtype)
+    if dtype != "bigint":
+        return wrapped(a.cast("bigint") + b.cast("bigint"), dtype)
+    return signed(a.cast("decimal(20,0)") + b.cast("decimal(20,0)"))
+
+
+def times(a: Column, b: Column, dtype: str) -> Column:
+    """a * b, wrapped around for integers."""
+    if is_float(dtype):
+        return (a * b).cast(dtype)
+    if dtype != "bigint":
+        return wrapped(a.cast("bigint") * b.cast("bigint"), dtype)
+    return signed((a.cast("decimal(19,0)") * b.cast("decimal(19,0)")).cast("decimal(38,0)"))
+
+
+def total(v: Column, dtype: str, over=lambda c: c) -> Column:
+    """Sum of integers, wrapped around; the upper and lower halves of a bigint are added apart, so neither sum overflows
+    below 2 ** 31 rows.  ``over`` places an aggregate in a window."""
+    v = v.cast("bigint")
+    if dtype != "bigint":
+        return wrapped(over(F.sum(v)), dtype)
+    mask = F.lit((1 << 32) - 1).cast("bigint")
+    high, low = over(F.sum(F.shiftright(v, 32))), over(F.sum(v.bitwiseAND(mask)))
+    return F.shiftleft(high + F.shiftright(low, 32), 32).bitwiseOR(low.bitwiseAND(mask))
+
+
+# An odd integer modulo 2 ** 64 is 5 to some power below 2 ** 62, negated or not.  So a product of integers is a sum of
+# these powers, of the powers of two and of the signs: it combines within partitions like any sum, and wraps exactly.
+_POWER = [pow(5, 1 << k, 1 << 64) for k in range(62)]
+_INVERSE = [pow(p, -1, 1 << 64) for p in _POWER]
+
+
+@F.pandas_udf(StructType([StructField(c, LongType()) for c in ("twos", "minus", "high", "low")]))
+def _factors(v: pd.Series) -> pd.DataFrame:
+    x = v.fillna(1).to_numpy(np.int64).view(np.uint64).copy()
+    x[x == 0] = 1
+    twos = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.uint64)
+    x >>= twos
+    # the shift was unsigned: bits above 64 - twos are lost, and the product has as many twos more
+    minus = (x >> np.uint64(1)) & np.uint64(1)
+    x = np.where(minus == 1, ~x + np.uint64(1), x)
+    power = np.zeros(len(x), np.uint64)
+    for k in range(62):
+        on = (x >> np.uint64(k + 2)) & np.uint64(1) == 1
+        x[on] *= np.uint64(_INVERSE[k])
+        power[on] |= np.uint64(1 << k)
+    return pd.DataFrame({"twos": twos.astype(np.int64), "minus": minus.astype(np.int64), "high": (power >> np.uint64(31)).astype(np.int64), "low": (power & np.uint64((1 << 31) - 1)).astype(np.int64)})
+
+
+@F.pandas_udf(LongType())
+def _multiplied(twos: pd.Series, minus: pd.Series, high: pd.Series, low: pd.Series) -> pd.Series:
+    none = twos.isna().to_numpy()
+    t, m, h, l = (x.fillna(0).to_numpy(np.int64).astype(np.uint64) for x in (twos, minus, high, low))
+    power, x = (h << np.uint64(31)) + l, np.ones(len(t), np.uint64)
+    for k in range(62):
+        x[(power >> np.uint64(k)) & np.uint64(1) == 1] *= np.uint64(_POWER[k])
+    x = np.where(m & np.uint64(1) == 1, ~x + np.uint64(1), x)
+    x = np.where(t < 64, x << np.minimum(t, np.uint64(63)), np.uint64(0))
+    return pd.Series(x.view(np.int64)).astype("Int64").mask(none)
+
+
+def product(v: Column, dtype: str, over=lambda c: c) -> Column:
+    """Product of numbers; of integers, wrapped around."""
+    if is_float(dtype):
+        return over(F.product(v.cast("double"))).cast(dtype)
+    v = v.cast("bigint")
+    f = _factors(v)
+    parts = [over(F.sum(F.when(v.isNotNull() & (v != 0), f[c]))) for c in ("twos", "minus", "high", "low")]
+    zero = over(F.max((v == 0).cast("int")))
+    return F.when(zero == 1, F.lit(0).cast("bigint")).otherwise(_multiplied(*parts)) if dtype == "bigint" else wrapped(F.when(zero == 1, F.lit(0).cast("bigint")).otherwise(_multiplied(*parts)), dtype)
+
+
 def divide(a: Column, b: Column, dtype: str) -> Column:
     """C division: integers truncate; floats give inf and NaN instead of errors."""
     if not is_float(dtype):

@@ -30,7 +30,7 @@ class Op:
 def _sum(v: Column, dtype: str, at=None) -> Column:
     if N.is_float(dtype):
         return F.sum(v.cast("double")).cast(dtype)
-    return N.wrapped(F.sum(v.cast("bigint")), dtype)
+    return N.total(v, dtype)
 
 
 def _finite(v: Column, dtype: str) -> Column:
@@ -98,8 +98,8 @@ def _argmin(v: Column, dtype: str, at: Column) -> Column:
     return F.when(best.isNull(), _none_at(dtype)).otherwise(best)
 
 
-Add = Op("+", _sum, lambda d: _lit(0, d), _number, combine=lambda a, b, d: (a + b).cast(d))
-Mul = Op("*", lambda v, d, at=None: F.product(v.cast("double")).cast(d), lambda d: _lit(1, d), _number, combine=lambda a, b, d: (a * b).cast(d))
+Add = Op("+", _sum, lambda d: _lit(0, d), _number, combine=N.add)
+Mul = Op("*", lambda v, d, at=None: N.product(v, d), lambda d: _lit(1, d), _number, combine=N.times)
 Max = Op("max", lambda v, d, at=None: F.coalesce(F.max(_finite(v, d)), _lit(N.LOWEST[d], d)), lambda d: _lit(N.LOWEST[d], d), _keep, combine=lambda a, b, d: F.greatest(a, b))
 Min = Op("min", lambda v, d, at=None: F.coalesce(F.min(_finite(v, d)), _lit(N.HIGHEST[d], d)), lambda d: _lit(N.HIGHEST[d], d), _keep, combine=lambda a, b, d: F.least(a, b))
 BitAnd = Op("&", lambda v, d, at=None: F.bit_and(v), lambda d: _lit(-1, d), _whole, combine=lambda a, b, d: a.bitwiseAND(b))

@@ -427,9 +427,18 @@ def extents(e: Expr) -> dict[Ix, int | None]:
     return {i: n if n is not None else soft.get(i) for i, n in out.items()}
 
 
-def scan(e, ix: Ix, op: Op = Add) -> Expr:
-    """Inclusive running reduction along one index."""
+def scan(e, ix: Ix | int, op: Op = Add) -> Expr:
+    """Inclusive running reduction along one index, or along an axis of a plain array by its number (negative: from the last)."""
     e = as_expr(e)
+    if isinstance(ix, int) and not isinstance(ix, bool) and e.shape:
+        from .lower import _positional
+
+        if e.structural() is not None:
+            raise ShapeError("a scan beside another reduction: evaluate that first")
+        if not -len(e.shape) <= ix < len(e.shape):
+            raise ShapeError(f"an array of {len(e.shape)} axes has no axis {ix}")
+        ids = [Ix(f"axis{n}") for n in range(len(e.shape))]
+        e, ix = _positional(e, ids), ids[ix]
     if not isinstance(ix, Ix):
         raise ShapeError("a scan runs along one index")
     if op.structured:

@@ -358,7 +358,7 @@ def _windowed(op, v: Column, dtype: str, w) -> Column:
     if op.name == "+" and N.is_float(dtype):
         return F.sum(v.cast("double")).over(w).cast(dtype)
     if op.name == "+":
-        return N.wrapped(F.sum(v.cast("bigint")).over(w), dtype)
+        return N.total(v, dtype, lambda c: c.over(w))
     plain = {"max": F.max, "min": F.min, "&": F.bit_and, "|": F.bit_or, "^": F.bit_xor, "&&": F.bool_and, "||": F.bool_or}
     if op.name in plain:
         if op.name in ("max", "min") and N.is_float(dtype):
@@ -366,7 +366,7 @@ def _windowed(op, v: Column, dtype: str, w) -> Column:
             return F.when(F.count(v).over(w) > 0, F.coalesce(out, op.identity(dtype)))
         return plain[op.name](v).over(w)
     if op.name == "*":
-        return F.when(F.count(v).over(w) > 0, F.product(v.cast("double")).over(w)).cast(op.result(dtype))
+        return F.when(F.count(v).over(w) > 0, N.product(v, op.result(dtype), lambda c: c.over(w)))
     # a user's operator: reduce the list of what came before, which is quadratic in a block
     kind = op.result(dtype)
     return F.when(F.count(v).over(w) > 0, F.aggregate(F.collect_list(v.cast(kind)).over(w), op.identity(dtype).cast(kind), lambda a, b: op.combine(a, b, kind)))

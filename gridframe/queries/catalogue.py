@@ -461,6 +461,49 @@ def scan_bits(spark, d):
     return out.join(named(p.eval(), "nation", value="p", round_to=4), "nation")
 
 
+def _wrapping(xs: str, step: str) -> str:
+    """A list of integers reduced modulo 2 ** 64 by ``step`` of a and b, as a signed number."""
+    m = "18446744073709551616"
+    low = f"list_transform({xs}, lambda x: ((x::hugeint % {m} + {m}) % {m})::uhugeint)"
+    return f"list_reduce({low}, lambda a, b: ({step}) % {m}::uhugeint)"
+
+
+def _signed(p: str) -> str:
+    return f"case when {p} >= 9223372036854775808 then ({p}::hugeint - 18446744073709551616)::bigint else {p}::bigint end"
+
+
+_FACTOR = "(case when o_orderkey % 3 = 0 then -1 else 1 end * (2 * o_custkey + 94906267))"
+
+
+@query(f"with p as (select o_custkey % 5 as c, {_wrapping(f'list({_FACTOR})', 'a * b')} as p, {_wrapping(f'list({_FACTOR} * 90000000007)', 'a + b')} as s, {_wrapping('list(o_orderkey % 7 + 1)', 'a * b')} as q from orders group by 1) select c, {_signed('p')} as product, {_signed('s')} as total, {_signed('q')} as twos from p")
+def fold_product_int(spark, d):
+    """Products and sums far beyond 64 bits wrap around, as machine integers do."""
+    o = table(spark, d, "orders")
+    key = g.from_table(o, ["o_orderkey"], F.col("o_custkey"))
+    odd = (2 * F.col("o_custkey") + 94906267) * F.when(F.col("o_orderkey") % 3 == 0, -1).otherwise(1)
+    cell = key.with_value(F.col("o_custkey") % 5, "bigint")
+    out = None
+    for name, v, op in (("product", odd, g.Mul), ("total", odd * 90000000007, g.Add), ("twos", F.col("o_orderkey") % 7 + 1, g.Mul)):
+        one = named(g.scatter(g.drop(cell[i], 5), key.with_value(v, "bigint")[i], i, op=op).eval(), "c", value=name)
+        out = one if out is None else out.join(one, "c")
+    return out
+
+
+@query(f"with l as (select n_nationkey as nation, list(2 * n_nationkey + 94906267) over (order by n_nationkey) as x, list((n_nationkey + 1) * 368934881474191) over (order by n_nationkey) as y from nation), p as (select nation, {_wrapping('x', 'a * b')} as p, {_wrapping('y', 'a + b')} as s from l) select nation::bigint as nation, {_signed('p')} as product, {_signed('s')} as total from p")
+def scan_product_int(spark, d):
+    key = vector(spark, d, "nation", "n_nationkey", F.col("n_nationkey").cast("bigint"))
+    product = g.scan(key.with_value(2 * F.col("n_nationkey").cast("bigint") + 94906267, "bigint")[i], i, g.Mul)
+    total = g.scan(key.with_value((F.col("n_nationkey").cast("bigint") + 1) * 368934881474191, "bigint")[i], i)
+    return named(product.eval(), "nation", value="product").join(named(total.eval(), "nation", value="total"), "nation")
+
+
+@query(_E + "select vec_id as row, d::bigint as d, round(sum(x) over (partition by vec_id order by d), 4) as along, max(x) over (partition by d order by vec_id) as down from e")
+def scan_axis(spark, d):
+    """Running reductions along an axis by its number."""
+    e = embeddings(spark, d)
+    return named(g.scan(e, 1).eval(), "row", "d", value="along", round_to=4).join(named(g.scan(e, -2, g.Max).eval(), "row", "d", value="down"), ["row", "d"])
+
+
 @query(_DAYS + "select t as day, coalesce(sum(n) over (order by t rows between unbounded preceding and 1 preceding), 0)::bigint as v from f")
 def scan_exclusive(spark, d):
     f = days(spark, d)
@@ -472,19 +515,14 @@ def scan_exclusive(spark, d):
 
 
 def _columns(spark, d, source: g.NdFrame, key: str, exprs: dict) -> DataFrame:
-    """Several expressions over one array's rows, side by side in one scan."""
-    return source.source.df.select(F.col(source.source.keys[0]).cast("bigint").alias(key), *(_value(e, source).alias(n) for n, e in exprs.items()))
-
-
-def _value(e, source: g.NdFrame):
-    """The column of an elementwise expression over one source."""
-    from gridframe.plans import expr as E
-
-    if isinstance(e, E.Leaf):
-        return e.frame.value
-    if isinstance(e, E.Scalar):
-        return F.lit(e.value).cast(e.dtype)
-    return e.column([_value(c, source) for c in e.children])
+    """Several expressions over one array, each evaluated, side by side: one shuffle brings a cell's values together."""
+    done = {n: e.eval().df for n, e in exprs.items()}
+    kinds = {n: a.schema["v"].dataType for n, a in done.items()}
+    rows = [a.select(F.col("d0").alias(key), *(F.struct(F.col("v")).alias(x) if x == n else F.lit(None).cast(f"struct<v:{kinds[x].simpleString()}>").alias(x) for x in done)) for n, a in done.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out.groupBy(key).agg(*(F.max(x)["v"].alias(x) for x in done))
 
 
 @query("""select o_orderkey as k, -o_custkey as neg, ~o_custkey as inv, o_custkey + o_orderkey as plus, o_custkey - o_orderkey as minus, o_custkey * 3 as times, (o_custkey - 700) // 7 as over, (o_custkey - 700) % 7 as rest,
@@ -568,13 +606,51 @@ def math_special(spark, d):
     return out.withColumn("tgamma", F.round("tgamma", 3))
 
 
-@query()
+def _series(n: int, term: str) -> str:
+    """Sum of ``term`` over t = 0 .. n - 1."""
+    return f"list_sum(list_transform(range({n}), lambda t: {term}))"
+
+
+def _integral(to: str, f: str, n: int = 400) -> str:
+    """Simpson's rule for f of s from 0."""
+    at = f.replace("s_", f"(({to}) * t / {n})")
+    return f"(({to}) / {3 * n} * list_sum(list_transform(range({n + 1}), lambda t: (case when t in (0, {n}) then 1 when t % 2 = 1 then 4 else 2 end) * {at})))"
+
+
+_Y, _H = "(u + 0.1)", "(0.9 * u)"
+_SPECIAL = {
+    "erf": f"2 / sqrt(pi()) * {_series(40, '(-1) ** t * u ** (2 * t + 1) / (gamma(t + 1) * (2 * t + 1))')}",
+    "erfc": f"1 - 2 / sqrt(pi()) * {_series(40, '(-1) ** t * u ** (2 * t + 1) / (gamma(t + 1) * (2 * t + 1))')}",
+    "beta": "1 / ((u + 1) * (u + 2))",
+    "expint": f"0.57721566490153286061 + ln({_Y}) + {_series(40, f'{_Y} ** (t + 1) / ((t + 1) * gamma(t + 2))')}",
+    "zeta": f"{_series(30, '(t + 1.0) ** (-(u + 2))')} + 30 ** (-(u + 1)) / (u + 1) - 30 ** (-(u + 2)) / 2 + (u + 2) * 30 ** (-(u + 3)) / 12 - (u + 2) * (u + 3) * (u + 4) * 30 ** (-(u + 5)) / 720",
+    "j": f"sqrt(2 / (pi() * {_Y})) * (sin({_Y}) / {_Y} - cos({_Y}))",
+    "i": f"{_series(30, '(u / 2) ** (2 * t + 1.5) / (gamma(t + 1) * gamma(t + 2.5))')}",
+    "k_": f"sqrt(pi() / (2 * {_Y})) * exp(-{_Y}) * (1 + 1 / {_Y})",
+    "y": f"-sqrt(2 / (pi() * {_Y})) * (cos({_Y}) / {_Y} + sin({_Y}))",
+    "sj": f"sqrt(pi()) / 2 * u * u / 4 * {_series(30, '(-1) ** t * (u / 2) ** (2 * t) / (gamma(t + 1) * gamma(t + 3.5))')}",
+    "sy": f"(1 - 3 / ({_Y} * {_Y})) * cos({_Y}) / {_Y} - 3 * sin({_Y}) / ({_Y} * {_Y})",
+    "al": "15 * u * (1 - u * u)",
+    "sl": "sqrt(7 / (480 * pi())) * 15 * cos(u) * sin(u) ** 2",
+    "ag": "-u ** 3 / 6 + 5 * u ** 2 / 2 - 10 * u + 10",
+    "e1": _integral("u", "1 / sqrt(1 - 0.25 * sin(s_) ** 2)"),
+    "e2": _integral("u", "sqrt(1 - 0.25 * sin(s_) ** 2)"),
+    "e3": _integral("u", "1 / ((1 - 0.3 * sin(s_) ** 2) * sqrt(1 - 0.25 * sin(s_) ** 2))"),
+    "c1": _integral("pi() / 2", f"1 / sqrt(1 - ({_H} * sin(s_)) ** 2)"),
+    "c2": _integral("pi() / 2", f"sqrt(1 - ({_H} * sin(s_)) ** 2)"),
+    "c3": _integral("pi() / 2", f"1 / ((1 - 0.3 * sin(s_) ** 2) * sqrt(1 - ({_H} * sin(s_)) ** 2))"),
+    "rem": "x - 3 * round_even(x / 3, 0)",
+    "sign": "case when x < 0 then -u else u end",
+}
+
+
+@query(f"with q as (select c_custkey as k, {_X} as x, abs({_X}) / 10 as u from customer) select k, {', '.join(f'round({e}, 6) as {n}' for n, e in _SPECIAL.items())} from q")
 def math_special_all(spark, d):
     m = g.math
 
     def exprs(x):
         u = m.abs(x) / 10.0
-        return {"erf": m.erf(u), "erfc": m.erfc(u), "beta": m.beta(u + 1.0, 2.0), "expint": m.expint(u + 0.1), "zeta": m.riemann_zeta(u + 2.0), "j": m.cyl_bessel_j(1.5, u + 0.1), "i": m.cyl_bessel_i(1.5, u), "k_": m.cyl_bessel_k(1.5, u + 0.1), "y": m.cyl_neumann(1.5, u + 0.1), "sj": m.sph_bessel(2, u), "sy": m.sph_neumann(2, u + 0.1), "al": m.assoc_legendre(3, 2, u), "sl": m.sph_legendre(3, 2, u), "ag": m.assoc_laguerre(3, 2, u), "e1": m.ellint_1(0.5, u), "e2": m.ellint_2(0.5, u), "e3": m.ellint_3(0.5, 0.3, u), "c1": m.comp_ellint_1(u * 0.9), "c2": m.comp_ellint_2(u), "c3": m.comp_ellint_3(u * 0.9, 0.3), "rem": m.remainder(x, 3.0), "sign": m.copysign(u, x)}
+        return {"erf": m.erf(u), "erfc": m.erfc(u), "beta": m.beta(u + 1.0, 2.0), "expint": m.expint(u + 0.1), "zeta": m.riemann_zeta(u + 2.0), "j": m.cyl_bessel_j(1.5, u + 0.1), "i": m.cyl_bessel_i(1.5, u), "k_": m.cyl_bessel_k(1.5, u + 0.1), "y": m.cyl_neumann(1.5, u + 0.1), "sj": m.sph_bessel(2, u), "sy": m.sph_neumann(2, u + 0.1), "al": m.assoc_legendre(3, 2, u), "sl": m.sph_legendre(3, 2, u), "ag": m.assoc_laguerre(3, 2, u), "e1": m.ellint_1(0.5, u), "e2": m.ellint_2(0.5, u), "e3": m.ellint_3(0.5, 0.3, u), "c1": m.comp_ellint_1(u * 0.9), "c2": m.comp_ellint_2(u * 0.9), "c3": m.comp_ellint_3(u * 0.9, 0.3), "rem": m.remainder(x, 3.0), "sign": m.copysign(u, x)}
 
     return _math(spark, d, exprs)
 
@@ -622,14 +698,48 @@ def rng_moments(spark, d):
     return out
 
 
-@query()
+def _philox_sql(cells: int, seed: int, streams: int) -> str:
+    """Table p of Philox words a, b, c, d for each stream and cell, and table u with their uniform draws u and v."""
+    mask, keys = (1 << 64) - 1, []
+    for n in range(streams):
+        x = g.gen._mix64(seed ^ g.gen._mix64(n)) & mask
+        keys.append(f"({n}, {x & 0xFFFFFFFF}::ubigint, {x >> 32}::ubigint)")
+    (m0, m1), (b0, b1), low = g.gen._MULTIPLY, g.gen._BUMP, 0xFFFFFFFF
+    return f"""with recursive p as (select stream, range as cell, 0 as step, range::ubigint as a, 0::ubigint as b, 0::ubigint as c, 0::ubigint as d, k0, k1 from range({cells}), (values {', '.join(keys)}) s(stream, k0, k1)
+union all select stream, cell, step + 1, xor(xor((c * {m1}) >> 32, b), k0), (c * {m1}) & {low}, xor(xor((a * {m0}) >> 32, d), k1), (a * {m0}) & {low}, (k0 + {b0}) & {low}, (k1 + {b1}) & {low} from p where step < {g.gen.ROUNDS}),
+u as (select stream, cell, xor(a << 21, b >> 11)::double * 2.0 ** -53 as u, xor(c << 21, d >> 11)::double * 2.0 ** -53 as v from p where step = {g.gen.ROUNDS})"""
+
+
+_OPEN = "(u + 2.0 ** -54)"
+_NORMAL = "sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v)"
+
+
+def _draws(*of_stream: str) -> str:
+    """A column for each named expression over its stream's draws."""
+    return ", ".join(f"round(max({x}) filter (stream = {n}), 5) as {name}" for n, (name, x) in enumerate(zip(of_stream[::2], of_stream[1::2], strict=True)))
+
+
+@query(_philox_sql(2000, 2024, 6) + f"select cell as at, {_draws('uniform', 'u', 'normal', _NORMAL, 'exponential', '-ln(1 - u) / 2', 'weighted', 'case when u < 0.25 then 1.0 when u < 0.5 then 2.0 else 4.0 end', 'even', 'case when u < 0.5 then 3.0 else 5.0 end', 'sample', 'u + 10 * v')} from u group by cell")
+def rng_draws(spark, d):
+    """Every draw by its value: the generator's words are computed in SQL as well."""
+    g.gen.seed(2024)
+    n = (2000,)
+    makers = {"uniform": g.gen.uniform(spark, n), "normal": g.gen.normal(spark, n), "exponential": g.gen.exponential(spark, n, 2.0), "weighted": g.gen.choice(spark, n, [1.0, 2.0, 4.0], [1, 1, 2]), "even": g.gen.choice(spark, n, [3.0, 5.0]), "sample": g.gen.sample(spark, n, lambda s: s.uniform() + 10 * s.uniform())}
+    out = None
+    for name, e in makers.items():
+        one = named(e.eval(), "at", value=name, round_to=5)
+        out = one if out is None else out.join(one, "at")
+    return out
+
+
+@query(_philox_sql(2000, 7, 9) + f"select cell as at, {_draws('rayleigh', 'sqrt(-2 * ln(1 - u))', 'weibull', '-ln(1 - u)', 'pareto', '1 / (1 - u)', 'lognormal', f'exp({_NORMAL})', 'cauchy', f'tan(pi() * ({_OPEN} - 0.5))', 'gumbel', f'-ln(-ln({_OPEN}))', 'logistic', f'ln({_OPEN} / (1 - {_OPEN}))')}, round(max(case stream when 7 then ln(1 - u) end) * -1 + max(case stream when 8 then ln(1 - u) end), 5) as laplace from u group by cell")
 def rng_distributions(spark, d):
     g.gen.seed(7)
     n = (2000,)
     makers = {"rayleigh": g.gen.rayleigh, "weibull": g.gen.weibull, "pareto": g.gen.pareto, "lognormal": g.gen.lognormal, "cauchy": g.gen.cauchy, "gumbel": g.gen.gumbel, "logistic": g.gen.logistic, "laplace": g.gen.laplace}
     out = None
     for name, f in makers.items():
-        one = named(f(spark, n).eval(), "at", value=name)
+        one = named(f(spark, n).eval(), "at", value=name, round_to=5)
         out = one if out is None else out.join(one, "at")
     return out
 
