@@ -114,5 +114,24 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from d left join hit_words using (r) left join hit_items using (r)"""
 
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_JACCARD = rf"""
+with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (select r, doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda p: array_to_string(list_slice(w, p, p + 4), ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as x from d),
+t as (select r, len(x) as n, unnest(x) as t from s),
+links as (select a.r as a, b.r as b from t a join t b on a.t = b.t and a.r <> b.r group by 1, 2 having 100 * count(*) >= 75 * (max(a.n) + max(b.n) - count(*))),
+reach(r, other) as (select r, r from s union select reach.r, links.b from reach join links on links.a = reach.other)
+select s.doc_id, len(any_value(s.x))::bigint as n_shingles, min(o.doc_id) as component_id from s join reach using (r) join s o on o.r = reach.other group by s.r, s.doc_id"""
+
+_SEARCH = rf"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+size as (select count(*) as n, avg(len(w)) as mean from d),
+tf as (select r, doc_id, len(w) as l, term, count(*) as tf from (select *, unnest(w) as term from d) group by all),
+df as (select term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) as weight from tf, size group by term),
+hits as (select q.query_id, tf.r, tf.doc_id, round(sum(weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))), 5) as score from (select distinct doc_id as query_id, term from tf where doc_id % 20 = 0) q join df using (term) join tf using (term), size group by all)
+select query_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from hits where score > 0) where rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": _DECONTAMINATE}
+    return {"op4_jaccard": _JACCARD, "op7_decontaminate": _DECONTAMINATE, "op9_search": _SEARCH}
