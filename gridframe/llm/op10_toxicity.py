@@ -17,7 +17,8 @@ Training uses at most ``sample`` labelled rows of at most ``sample_bytes`` each
 
 Defined results: a text without words gets the score of the bias alone; without
 labelled rows of both classes every score is the share of ones, 0 without any;
-repeated rows are scored alike; null texts count as empty.
+repeated rows are scored alike; null texts count as empty; of labelled rows of one id
+the least by label and text is learned from.
 """
 
 from __future__ import annotations
@@ -136,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, *, learn: Column, label: str = "to
     rows = chosen(labels, label, learn, sample, doc_id)
     # at most ``sample`` small rows, so the broadcast is bounded
     found = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).where(F.octet_length("_text") <= sample_bytes).join(F.broadcast(rows), "_id")
-    got = found.select(F.col("_id").cast("string"), "_y", "_text").collect()
+    # rows of one id are one row, the least, so what comes to the driver is bounded
+    got = found.groupBy(F.col("_id").cast("string").alias("_id")).agg(F.min(F.struct("_y", "_text")).alias("r")).select("_id", "r.*").collect()
     got.sort(key=lambda r: (r._id or "", r._y, r._text))
     y = np.array([r._y for r in got], float)
     return Model(Bags(*t.texts(pa.array([r._text for r in got], pa.string()))) if got else None, y)
