@@ -50,7 +50,7 @@ MOST_BITS = 24  # cells of the sketch, as a power of two
 BLOCK = 1 << 18  # counters in a row of the sketch
 HOT = 4_000  # documents of a shingle that one task compares at once
 LIGHT = 8  # sets of a shingle whose pairs are counted; of more, bitmaps are compared
-LEAD = 16  # earlier shared shingles of a set by which a pair is known to be another shingle's
+LEAD = 8  # earlier shared shingles of a set by which a pair is known to be another shingle's
 WIDTHS = (512, 2048, 8192, 32768)  # bits of a set's bitmap; a set has at most half as many shingles, if it isn't of the last kind
 GROUP = 256  # partners that one set is verified with in a task
 SPREAD = 256  # parts that the entries of a hot shingle are dealt to
@@ -348,17 +348,19 @@ def _dense(mixed: DataFrame, bits: DataFrame) -> DataFrame:
     many = mixed.where(F.col("n_token") > LIGHT)
     held = F.sort_array(F.collect_list(F.struct("pos", "token", "n_token")))
     sets = many.groupBy("k1").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("comp").alias("comp"), held.alias("held")).join(bits, "k1")
-    rows = sets.select("k1", "n", "m", "comp", "bits", F.slice(F.transform("held", lambda h: h["token"]), 1, LEAD).alias("lead"), F.explode("held").alias("h")).select("*", "h.pos", "h.token", "h.n_token")
+    rows = sets.select("k1", "n", "m", "comp", "bits", F.transform(F.slice("held", 1, LEAD), lambda h: h["token"]).alias("heads"), F.posexplode("held").alias("at", "h"))
+    # an entry carries no more than its set's earlier shingles
+    rows = rows.select("k1", "n", "m", "comp", "bits", F.slice("heads", F.lit(1), F.least("at", F.lit(LEAD))).alias("lead"), "h.pos", "h.token", "h.n_token")
     # very frequent shingles are compared block by block, each pair of blocks in one group
     blocks = F.ceil(F.col("n_token") / HOT).cast("int")
     mine = F.pmod(F.xxhash64("k1"), blocks).cast("int")
     pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least(j, mine) * blocks + F.greatest(j, mine))
-    rows = rows.withColumn("block", mine).withColumn("pair", F.explode(pair)).withColumn("cell", F.xxhash64("token", "pair"))
-    rows = rows.select("cell", "token", "comp", "k1", "n", "m", "pos", "block", "lead", "bits").repartition(partitions(mixed.sparkSession), "cell").sortWithinPartitions("cell", "comp", "k1")
+    rows = rows.withColumn("block", mine).withColumn("pair", F.explode(pair)).withColumn("cell", F.when(blocks == 1, F.col("token")).otherwise(F.xxhash64("token", "pair")))
+    rows = rows.select("cell", "comp", "k1", "n", "m", "pos", "block", "lead", "bits").repartition(partitions(mixed.sparkSession), "cell").sortWithinPartitions("cell", "comp", "k1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, start in _groups(batches, "cell"):
-            n, k, token = x["n"].astype(np.int64), x["k1"], x["token"]
+            n, k = x["n"].astype(np.int64), x["k1"]
             maps = Bitmaps(x["bits"], n)
             lead = np.zeros((len(n), LEAD), np.int64)
             used = np.array([len(v) for v in x["lead"]])
@@ -366,13 +368,12 @@ def _dense(mixed: DataFrame, bits: DataFrame) -> DataFrame:
             for big, small in _meetings(x, start):
                 ok = 7 * maps.differences(big, small) <= n[big] + n[small]
                 big, small = big[ok], small[ok]
-                # the first shingle that both have among their LEAD ones gives the pair; others need not
+                # a pair that shares an earlier shingle among the LEAD first ones is given there
                 mine = np.ones(len(big), bool)
                 for a in range(0, len(big), 1 << 14):
-                    p, q = lead[big[a : a + (1 << 14)]], lead[small[a : a + (1 << 14)]]
-                    same = (p[:, :, None] == q[:, None, :]) & (np.arange(LEAD) < used[big[a : a + (1 << 14)], None])[:, :, None] & (np.arange(LEAD) < used[small[a : a + (1 << 14)], None])[:, None, :]
-                    at = same.any(2)
-                    mine[a : a + (1 << 14)] = ~at.any(1) | (p[np.arange(len(p)), at.argmax(1)] == token[big[a : a + (1 << 14)]])
+                    i, j = big[a : a + (1 << 14)], small[a : a + (1 << 14)]
+                    known = (np.arange(LEAD) < used[i, None])[:, :, None] & (np.arange(LEAD) < used[j, None])[:, None, :]
+                    mine[a : a + (1 << 14)] = ~((lead[i][:, :, None] == lead[j][:, None, :]) & known).any((1, 2))
                 if mine.any():
                     yield pa.RecordBatch.from_pydict({"x": pa.array(k[big[mine]]), "y": pa.array(k[small[mine]])})
 
