@@ -55,6 +55,7 @@ WIDTHS = (512, 2048, 8192, 32768)  # bits of a set's bitmap; a set has at most h
 GROUP = 256  # partners that one set is verified with in a task
 SPREAD = 256  # parts that the entries of a hot shingle are dealt to
 PAIRS = 1 << 18  # pairs that a task compares at once
+ENTRIES = 1 << 20  # prefix entries that a task packs at once, and that a bucket of shingles holds on average at most
 
 
 def cells(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -207,52 +208,144 @@ def signatures(docs: DataFrame, doc_id: str, text: str, counts: np.ndarray) -> D
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, m int, common int, bits binary, prefix array<long>, hot array<int>")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str, most: int | None = None) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
-    """Columns of rows sorted by ``key`` in pieces, with the starts of the keys.  No key is split, unless more than ``most``
-    rows have it; pieces from the first such split on hold ``cut``."""
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Columns of rows sorted by ``key`` in pieces that split no key, with the starts of the keys."""
     rest: dict[str, np.ndarray] | None = None
-    split = False
     starts = lambda k: np.flatnonzero(np.append(True, k[1:] != k[:-1]))
     for batch in batches:
         new = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
         rest = new if rest is None else {n: np.concatenate([rest[n], new[n]]) for n in new}
         k = rest[key]
         cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
-        if not cut and most and len(k) > most:
-            cut, split = len(k), True
         if cut:
             piece, rest = {n: x[:cut] for n, x in rest.items()}, {n: x[cut:] for n, x in rest.items()}
-            yield piece | ({"cut": np.ones(1)} if split else {}), starts(piece[key])
+            yield piece, starts(piece[key])
     if rest is not None and len(rest[key]):
-        yield rest | ({"cut": np.ones(1)} if split else {}), starts(rest[key])
+        yield rest, starts(rest[key])
+
+
+#: an entry of a set's prefix: its shingle, its set's digest, size, L and share of common shingles, its place, and whether its shingle is dealt out
+ENTRY = {"token": np.uint64, "k1": np.int64, "n": np.int32, "m": np.int8, "common": np.int8, "pos": np.int32, "hot": np.bool_}
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """A column byte by byte, all first bytes first, compressed: the upper bytes of small numbers cost next to nothing."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unplaned(data: bytes, n: int, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    raw = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, n).T).view(dtype).ravel()
+
+
+def _entries(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    prefix, hot = batch.column("prefix"), batch.column("hot")
+    size, marks = (c.value_lengths().to_numpy() for c in (prefix, hot))
+    first = np.append(0, np.cumsum(size))
+    is_hot = np.zeros(first[-1], bool)
+    is_hot[np.repeat(first[:-1], marks) + hot.flatten().to_numpy()] = True
+    row = np.repeat(np.arange(len(size)), size)
+    x = {"token": prefix.flatten().to_numpy(), "pos": np.arange(first[-1]) - first[row], "hot": is_hot}
+    x |= {c: batch.column(c).to_numpy()[row] for c in ("k1", "n", "m", "common")}
+    return {c: x[c].view(d) if c == "token" else x[c].astype(d) for c, d in ENTRY.items()}
+
+
+def _packed(x: dict[str, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Entries by bucket of shingles (shingles that are dealt out: of shingle and part), sorted, as differences of their hashes."""
+    key = np.where(x["hot"], t.mix(x["token"] + t._SLOT[8] * (x["k1"] % SPREAD).astype(np.uint64)), x["token"])
+    bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    order = np.lexsort((x["token"], bucket))
+    bucket = bucket[order]
+    x = {c: v[order] for c, v in x.items()}
+    edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    step = x["token"].copy()
+    step[1:] -= x["token"][:-1]
+    step[edge] = x["token"][edge]
+    x["token"] = step
+    edge = np.append(edge, len(bucket))
+    for lo in range(0, len(edge) - 1, 64):
+        ends = list(zip(edge[lo : lo + 64].tolist(), edge[lo + 1 : lo + 65].tolist(), strict=False))
+        data = {c: pa.array([_planes(x[c][a:b]) for a, b in ends], pa.binary()) for c in ENTRY}
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[edge[lo : lo + len(ends)]]), "size": pa.array([b - a for a, b in ends], pa.int32())} | data)
+
+
+def _met(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Of entries, those whose shingle another set has or which are dealt out, with their shingle's pivot."""
+    if not len(x["token"]):
+        return
+    order = np.lexsort((x["k1"], x["token"]))
+    x = {c: v[order] for c, v in x.items()}
+    token, k1 = x["token"], x["k1"]
+    start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    twin = np.append(False, (token[1:] == token[:-1]) & (k1[1:] == k1[:-1]))
+    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(token))))
+    keep = ~twin & ((np.bincount(group, ~twin)[group] > 1) | x["hot"])
+    central = np.lexsort((k1 * np.int64(t._SLOT[7].astype(np.int64)), x["common"], group))[np.append(start[1:], len(k1)) - 1][group]
+    for on in np.array_split(np.flatnonzero(keep), max(1, int(keep.sum()) >> 16)):
+        if len(on):
+            out = {"token": token[on].view(np.int64), "k1": k1[on], "n": x["n"][on], "m": x["m"][on].astype(np.int32), "pos": x["pos"][on], "py": k1[central[on]], "pn": x["n"][central[on]]}
+            yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in out.items()})
 
 
 def _shared_postings(signature: DataFrame) -> DataFrame:
     """Entries of the shingles that at least two sets have in their prefixes, with the shingle's pivot (``py``, of size ``pn``).
 
     The pivot is the set with the greatest share of shingles that others hold, so a text rather than its altered copies;
-    of a shingle that is dealt out, each part and piece has its own.
+    of a shingle that is dealt out, each part and piece has its own.  Entries are shuffled in packed form: most belong to
+    shingles of one set and go no further.
     """
-    rows = signature.where("n > 0").select("k1", F.col("n").cast("int").alias("n"), "m", "common", "hot", F.posexplode("prefix").alias("pos", "token"))
-    # a shingle that very many sets hold is dealt out further and kept whatever a part of its entries shows
-    rows = rows.withColumn("hot", F.array_contains("hot", F.col("pos")))
-    cell = F.when(F.col("hot"), F.xxhash64("token", F.pmod("k1", F.lit(SPREAD)))).otherwise(F.col("token"))
-    rows = rows.repartition(partitions(signature.sparkSession), cell).sortWithinPartitions("token", "k1")
+    n = partitions(signature.sparkSession)
+    # a prefix has about a quarter of its set's shingles; n times as many buckets as needed, so partitions hold as many each
+    buckets = n * max(1, -(-(signature.agg(F.sum("n")).first()[0] or 0) // (4 * ENTRIES * n)))
+    kinds = ", ".join(f"{c} binary" for c in ENTRY)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(_entries(batch))
+            size += len(held[-1]["token"])
+            if size > ENTRIES:
+                yield from _packed({c: np.concatenate([h[c] for h in held]) for c in ENTRY}, buckets)
+                held, size = [], 0
+        if size:
+            yield from _packed({c: np.concatenate([h[c] for h in held]) for c in ENTRY}, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, start in _groups(batches, "token", 500_000):
-            token, k1 = x["token"], x["k1"]
-            twin = np.append(False, (token[1:] == token[:-1]) & (k1[1:] == k1[:-1]))
-            group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(token))))
-            count = np.bincount(group, ~twin)
-            if x.pop("cut", None) is not None:  # a shingle cut in pieces has more rows than these
-                count[[0, -1]] += 2
-            keep = ~twin & ((count[group] > 1) | x["hot"])
-            central = np.lexsort((k1 * np.int64(t._SLOT[7].astype(np.int64)), x["common"], group))[np.append(start[1:], len(k1)) - 1][group]
-            if keep.any():
-                yield pa.RecordBatch.from_pydict({n: pa.array(x[n][keep]) for n in ("token", "k1", "n", "m", "pos")} | {"py": pa.array(k1[central[keep]]), "pn": pa.array(x["n"][central[keep]])})
-
-    return rows.select("token", "k1", "n", "m", "common", "pos", "hot").mapInArrow(run, "token long, k1 long, n int, m int, pos int, py long, pn int")
+        held, size, most, at = [], 0, ENTRIES, None
+        dealt = np.zeros(0, np.uint64)
+
+        def joined() -> dict[str, np.ndarray]:
+            x = {c: np.concatenate([h[c] for h in held]) for c in ENTRY}
+            x["hot"] |= np.isin(x["token"], dealt)
+            return x
+
+        for batch in batches:
+            rows = batch.to_pylist()
+            for r in rows:
+                if at != r["bucket"]:
+                    if size:
+                        yield from _met(joined())
+                    held, size, most, at, dealt = [], 0, ENTRIES, r["bucket"], np.zeros(0, np.uint64)
+                x = {c: _unplaned(r[c], r["size"], d) for c, d in ENTRY.items()}
+                x["token"] = np.cumsum(x["token"], dtype=np.uint64)
+                held.append(x)
+                size += r["size"]
+                if size > most:
+                    # entries of shingles that many sets hold are given at once; all others of the bucket wait for its end
+                    x = joined()
+                    token, count = np.unique(x["token"], return_counts=True)
+                    dealt = np.union1d(dealt, token[count > HOT])
+                    x["hot"] |= np.isin(x["token"], dealt)
+                    yield from _met({c: v[x["hot"]] for c, v in x.items()})
+                    held = [{c: v[~x["hot"]] for c, v in x.items()}]
+                    size = len(held[0]["token"])
+                    most = size + ENTRIES
+        if size:
+            yield from _met(joined())
+
+    rows = signature.where("n > 0").select("k1", "n", "m", "common", "prefix", "hot").mapInArrow(pack, f"bucket int, size int, {kinds}")
+    return rows.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "token long, k1 long, n int, m int, pos int, py long, pn int")
 
 
 def _mixed(known: DataFrame) -> DataFrame:

@@ -328,7 +328,7 @@ def test_hot_shingles_and_wide_groups(spark, monkeypatch):
     want = Counter(linked(rows))
     assert len({c for _, _, c in want}) > 3
     for light, hot in ((2, 2), (10**6, 10**6)):
-        for name, value in (("LIGHT", light), ("HOT", hot), ("GROUP", 2), ("SPREAD", 2), ("LEAD", 3), ("PAIRS", 50)):
+        for name, value in (("LIGHT", light), ("HOT", hot), ("GROUP", 2), ("SPREAD", 2), ("LEAD", 3), ("PAIRS", 50), ("ENTRIES", 100)):
             monkeypatch.setattr(op4_jaccard, name, value)
         # without pivots every link is left to the pairs across components
         monkeypatch.setattr(op4_jaccard, "_star", lambda postings: postings.select(F.col("k1").alias("x"), F.col("k1").alias("y")).limit(0))
