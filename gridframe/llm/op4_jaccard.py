@@ -55,7 +55,7 @@ WIDTHS = (512, 2048, 8192, 32768)  # bits of a set's bitmap; a set has at most h
 GROUP = 256  # partners that one set is verified with in a task
 SPREAD = 256  # parts that the entries of a hot shingle are dealt to
 PAIRS = 1 << 18  # pairs that a task compares at once
-ENTRIES = 1 << 20  # prefix entries that a task packs at once, and that a bucket of shingles holds on average at most
+ENTRIES = 1 << 18  # prefix entries that a task packs at once, and that a bucket of shingles holds on average at most
 
 
 def cells(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -486,9 +486,10 @@ def verified(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
     needed = spark.sparkContext.broadcast(np.packbits(table))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = np.unpackbits(needed.value).astype(bool), set()
+        table, seen = needed.value, set()
         for _, s in _batches(batches, "text", None):
-            on = np.flatnonzero(table[s.key1 & low] & (s.size > 0))
+            cell = s.key1 & low
+            on = np.flatnonzero((table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool) & (s.size > 0))
             on = np.array([i for i in on.tolist() if not ((k := (int(s.key1[i]), int(s.key2[i]))) in seen or seen.add(k))], np.int64)
             if len(on):
                 yield pa.RecordBatch.from_pydict({"k1": pa.array(s.key1[on]), "k2": pa.array(s.key2[on]), "set": pa.array([s.hash[s.first[i] : s.first[i + 1]].tobytes() for i in on], pa.binary())})
