@@ -587,6 +587,46 @@ def test_pruned_search_is_exact():
         assert np.allclose(full[rows], scores, atol=1e-4)
 
 
+@pytest.mark.parametrize("round_terms", [150, 10**6])
+def test_search_by_rounds_sends_no_query_to_every_shard(docs, round_terms):
+    rows = corpus()
+    asked = [n for n in range(0, 60, 5) if rows[n][1] and rows[n][0] != 5]
+    got = op9_search.search(docs, is_query=queries.F.col("doc_id").isin([rows[n][0] for n in asked]), k=4, shard_rows=3, round_terms=round_terms)
+    plan = got._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    got = got.collect()
+    for q, best in bm25(rows, asked, 4).items():
+        assert sorted((r.rank, r.doc_id, r.score) for r in got if r.query_id == q) == best
+
+
+def test_queries_scored_together_agree_with_one_by_one():
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    parts, vectors = [], []
+    for d in range(900):  # few common terms for the matrix product, many rare ones for posting lists; every ninth row is a copy
+        x = vectors[-1] if d % 9 == 1 else np.unique(np.append(r.integers(0, 12, 8), 12 + r.integers(0, 4000, 20)))
+        vectors.append(x)
+        parts.append((np.zeros(len(x), np.int32), x.astype(np.int64), np.ones(len(x), np.float32), np.array([len(x)])))
+    vocabulary, listed = np.arange(0, 4012, dtype=np.int64), vectors[:700]
+    weight = np.where(vocabulary < 12, 0.3, 4.0) + vocabulary / 1e5
+    first = np.append(0, np.cumsum([len(x) for x in listed]))
+    asked = op9_search.Asked(pa.nulls(len(listed)), first, np.concatenate(listed).astype(np.int32), vocabulary, weight)
+    holds = np.zeros((len(vectors), len(vocabulary)))
+    for d, x in enumerate(vectors):
+        holds[d, x] = 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(x) / 24.0))
+    score = np.array([holds[:, x] @ weight[x] for x in listed])
+    score, order = np.round(score, op9_search.PLACES), np.arange(len(vectors))[::-1].copy()
+    want = [np.lexsort((order, -s))[:5].tolist() for s in score]
+    floor = np.array([s[w[2]] for s, w in zip(score, want, strict=True)])
+    for least in (np.zeros(len(listed)), floor):
+        got = [[] for _ in listed]
+        for query, row, _ in op9_search.Shard(list(parts), 24.0).best(asked, 5, order, least):
+            for q, d in zip(query.tolist(), row.tolist(), strict=True):
+                got[q].append(d)
+        assert got == [[d for d in w if score[q, d] >= least[q]] for q, w in enumerate(want)]
+
+
 # ---------------------------------------------------------------- shared parts, queries, pipeline
 
 
