@@ -627,6 +627,38 @@ def test_queries_scored_together_agree_with_one_by_one():
         assert got == [[d for d in w if score[q, d] >= least[q]] for q, w in enumerate(want)]
 
 
+def made_rows(spark, since, node="MapInArrow", holds="query_id"):
+    """Rows that these nodes of the SQL executions from ``since`` on have put out."""
+    store, total, seen = spark._jsparkSession.sharedState().statusStore(), 0, set()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    for run in (runs.apply(i) for i in range(since, runs.size())):
+        nodes, values = store.planGraph(run.executionId()).allNodes(), store.executionMetrics(run.executionId())
+        for x in (nodes.apply(i) for i in range(nodes.size())):
+            if node in x.name() and holds in x.desc():
+                for m in (x.metrics().apply(i) for i in range(x.metrics().size())):
+                    if m.name() == "number of output rows" and m.accumulatorId() not in seen and values.contains(m.accumulatorId()):
+                        seen.add(m.accumulatorId())
+                        total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total
+
+
+@pytest.mark.parametrize("copies", [0, 320])
+def test_search_rows_grow_with_the_logarithm_of_shards(spark, copies):
+    r = random.Random(copies)
+    words = ["".join(r.choice("abcdef") for _ in range(4)) for _ in range(60)]
+    rows = [(n, "the same text" if n % 2 and n < 2 * copies else " ".join(r.choice(words) for _ in range(12))) for n in range(640)]
+    asked = [n for n in range(0, 640, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    since = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    got = op9_search.search(df, is_query=queries.F.col("doc_id") % 9 == 0, k=4, shard_rows=20).collect()
+    made = made_rows(spark, since)
+    assert len(got) <= made <= 1.4 * len(asked) * 4 * (op9_search.AHEAD + 3)  # 32 shards: 4 without a floor, then three stages
+    for q, best in bm25(rows, asked, 4).items():
+        assert sorted((x.rank, x.doc_id, x.score) for x in got if x.query_id == q) == best
+    assert op9_search.stages(32) == [(0, 4), (4, 8), (8, 16), (16, 32)] and op9_search.stages(7) == [(0, 3), (3, 7)] and op9_search.stages(1) == [(0, 1)]
+
+
 # ---------------------------------------------------------------- shared parts, queries, pipeline
 
 
