@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as t
+from .shared import lean
 
 SAMPLE = 8000
 BINS = 24
@@ -212,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, *, learn: Column, label: str = "qu
             yield pa.RecordBatch.from_pydict({"_id": batch.column("_id").cast(pa.string()), "y": batch.column("_y"), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
     # rows of one id are one row, the least, so what comes to the driver is bounded
-    got = found.mapInArrow(run, "_id string, y int, x array<double>").groupBy("_id").agg(F.min(F.struct("y", "x")).alias("r")).select("_id", "r.*").collect()
+    got = found.mapInArrow(lean(run), "_id string, y int, x array<double>").groupBy("_id").agg(F.min(F.struct("y", "x")).alias("r")).select("_id", "r.*").collect()
     got.sort(key=lambda r: (r._id or "", r.y, r.x))
     x = np.array([r.x for r in got]).reshape(len(got), len(FEATURES))
     return Model(x, np.array([r.y for r in got], float))
@@ -230,4 +231,4 @@ def scored(docs: DataFrame, model: Model, *, text: str = "text", score: str = "s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], names=[*batch.schema.names, score])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kept}, `{score}` double")
+    return docs.mapInArrow(lean(run), f"{kept}, `{score}` double")

@@ -42,7 +42,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from . import textops as t
 from .components import components
-from .shared import discard, partitions, stored
+from .shared import discard, lean, partitions, stored
 
 SHINGLE = 5
 MOST_MATCHES = 4  # the largest L
@@ -141,7 +141,7 @@ def sketch(docs: DataFrame, text: str) -> np.ndarray:
         total = np.minimum(total, (1 << 16) - 1).astype(np.uint16)
         return pa.table({"block": table.column("block")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
+    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(lean(count), "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
     out = np.zeros(n, np.uint16).reshape(-1, BLOCK)
     for r in rows:
         out[r.block] = np.frombuffer(zlib.decompress(r.counts), np.uint16)
@@ -205,7 +205,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, counts: np.ndarray) -> D
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n": pa.array(s.size), "k1": pa.array(s.key1), "k2": pa.array(s.key2), "m": pa.array(matches, pa.int32()), "common": pa.array(common, pa.int32()), "bits": pc.if_else(pa.array(twin | (s.size == 0)), None, s.bitmaps()), "prefix": prefix, "hot": hot})
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, m int, common int, bits binary, prefix array<long>, hot array<int>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, n long, k1 long, k2 long, m int, common int, bits binary, prefix array<long>, hot array<int>")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
@@ -344,8 +344,8 @@ def _shared_postings(signature: DataFrame) -> DataFrame:
         if size:
             yield from _met(joined())
 
-    rows = signature.where("n > 0").select("k1", "n", "m", "common", "prefix", "hot").mapInArrow(pack, f"bucket int, size int, {kinds}")
-    return rows.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "token long, k1 long, n int, m int, pos int, py long, pn int")
+    rows = signature.where("n > 0").select("k1", "n", "m", "common", "prefix", "hot").mapInArrow(lean(pack), f"bucket int, size int, {kinds}")
+    return rows.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "token long, k1 long, n int, m int, pos int, py long, pn int")
 
 
 def _mixed(known: DataFrame) -> DataFrame:
@@ -396,7 +396,7 @@ def _light(mixed: DataFrame) -> DataFrame:
             for big, small in _meetings(x, start):
                 yield pa.RecordBatch.from_pydict({"x": pa.array(x["k1"][big]), "y": pa.array(x["k1"][small]), "m": pa.array(x["m"][big]), "nx": pa.array(x["n"][big]), "ny": pa.array(x["n"][small]), "px": pa.array(x["pos"][big]), "py": pa.array(x["pos"][small])})
 
-    pairs = rows.mapInArrow(run, "x long, y long, m int, nx int, ny int, px int, py int")
+    pairs = rows.mapInArrow(lean(run), "x long, y long, m int, nx int, ny int, px int, py int")
     # a pair that also shares a shingle of many sets is judged there, whatever its count is here
     pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("got"), *(F.max(c).alias(c) for c in ("m", "nx", "ny", "px", "py"))).where("got >= m")
     # what may still be shared: nothing up to the earlier prefix's end but what was found, nothing before the last found
@@ -470,7 +470,7 @@ def _dense(mixed: DataFrame, bits: DataFrame) -> DataFrame:
                 if mine.any():
                     yield pa.RecordBatch.from_pydict({"x": pa.array(k[big[mine]]), "y": pa.array(k[small[mine]])})
 
-    return rows.mapInArrow(run, "x long, y long")
+    return rows.mapInArrow(lean(run), "x long, y long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
@@ -497,7 +497,7 @@ def verified(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
     pairs = pairs.join(pairs.groupBy("y").agg(F.ceil(F.count("*") / GROUP).alias("parts")), "y").withColumn("part", F.pmod(F.xxhash64("x"), "parts"))
     roles = pairs.select(F.col("x").alias("k1"), F.xxhash64("y", "part").alias("team"), "y", F.lit(1).alias("turn"))
     roles = roles.union(pairs.select(F.col("y").alias("k1"), F.xxhash64("y", "part"), "y", F.lit(0)).distinct())
-    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(sets, "k1 long, k2 long, set binary")
+    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(lean(sets), "k1 long, k2 long, set binary")
     teams = found.join(roles.hint("shuffle_merge"), "k1").select("team", "turn", "y", "k1", "k2", "set").repartition(partitions(spark), "team").sortWithinPartitions("team", "y", "turn")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -519,7 +519,7 @@ def verified(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["x", "x2", "y", "y2"])
 
-    links = teams.mapInArrow(check, "x long, x2 long, y long, y2 long")
+    links = teams.mapInArrow(lean(check), "x long, x2 long, y long, y2 long")
     node = lambda p, q: F.concat(F.lpad(F.hex(p), 16, "0"), F.lpad(F.hex(q), 16, "0"))
     return stored(links.select(node("x", "x2").alias("a"), node("y", "y2").alias("b")).distinct(), "links")
 
@@ -601,7 +601,7 @@ def with_sets(docs: DataFrame, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s.key1, mask=none), pa.array(s.key2, mask=none)], [*part.schema.names, "_k1", "_k2"])
 
     schema = StructType([*docs.schema.fields, StructField("_k1", LongType()), StructField("_k2", LongType())])
-    return docs.mapInArrow(run, schema).withColumn("_node", _node("_k1", "_k2")).drop("_k1", "_k2")
+    return docs.mapInArrow(lean(run), schema).withColumn("_node", _node("_k1", "_k2")).drop("_k1", "_k2")
 
 
 def first_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

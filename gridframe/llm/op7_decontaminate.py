@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as t
+from .shared import lean
 
 SLICE_BYTES = 8 << 20  # item text in one broadcast index
 SHINGLE = 5
@@ -154,7 +155,7 @@ def _rarity(docs: DataFrame, text: str, index: Index) -> dict[int, int]:
 
     if not len(keys):
         return {}
-    rows = docs.select(F.col(text).cast("string")).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text).cast("string")).mapInArrow(lean(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     return {r.token: r.n for r in rows}
 
 
@@ -186,7 +187,7 @@ def _match(docs: DataFrame, text: str, index: Index) -> DataFrame:
                 columns = {n: part.column(n) for n in part.schema.names} | {"n_words": pa.array(np.diff(w.first)), "runs": pa.array(runs, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def slices(items: DataFrame, item_id: str, text: str, window: int, slice_bytes: int) -> Iterator[Index]:
@@ -231,4 +232,4 @@ def report(rows: DataFrame) -> DataFrame:
 
     kept = [f for f in rows.schema.fields if f.name not in ("runs",)]
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return rows.mapInArrow(run, f"{names}, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return rows.mapInArrow(lean(run), f"{names}, n_hit long, n_items long, items_sha256 string, contaminated boolean")

@@ -25,13 +25,14 @@ import functools
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textops as t
+from .shared import lean
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, REACH = 96, 32, 40
@@ -358,14 +359,11 @@ def all_spans(texts: list[str], tagger: Tagger, batch: int = 2048) -> list[tuple
     return out
 
 
-def scan(docs: DataFrame, *, text: str = "text", spans: str = "spans", base: str = "base_spans") -> DataFrame:
-    """``docs`` with two columns of (start, kind, end): all spans and the base ones; columns of these names are replaced."""
+def _finder(docs: DataFrame, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list, list]]]:
+    """What gives, of batches of ``docs`` with the text in column ``k``, parts with each row's spans and base spans."""
     shared = docs.sparkSession.sparkContext.broadcast(trained().p)
-    docs = docs.drop(spans, base)
-    k = docs.columns.index(text)
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list, list]]:
         tagger = Tagger()
         tagger.p = shared.value
         hot = np.zeros(256, bool)
@@ -381,32 +379,45 @@ def scan(docs: DataFrame, *, text: str = "text", spans: str = "spans", base: str
                 found, fixed = [[]] * (b - a), [[]] * (b - a)
                 for i, (x, y) in zip(on.tolist(), all_spans(values, tagger), strict=True):
                     fixed[i], found[i] = x, y
-                cells = [pa.array([[{"start": s, "kind": n, "end": e} for s, n, e in row] for row in rows], kind) for rows in (found, fixed)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *cells], names=[*part.schema.names, spans, base])
+                yield part, found, fixed
+
+    return run
+
+
+def scan(docs: DataFrame, *, text: str = "text", spans: str = "spans", base: str = "base_spans") -> DataFrame:
+    """``docs`` with two columns of (start, kind, end): all spans and the base ones; columns of these names are replaced."""
+    docs = docs.drop(spans, base)
+    found_in = _finder(docs, docs.columns.index(text))
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found, fixed in found_in(batches):
+            cells = [pa.array([[{"start": s, "kind": n, "end": e} for s, n, e in row] for row in rows], kind) for rows in (found, fixed)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *cells], names=[*part.schema.names, spans, base])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     item = "array<struct<start:bigint,kind:int,end:bigint>>"
-    return docs.mapInArrow(run, f"{kept}, `{spans}` {item}, `{base}` {item}")
+    return docs.mapInArrow(lean(run), f"{kept}, `{spans}` {item}, `{base}` {item}")
 
 
 def masked(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets; of overlapping spans, the first's kind."""
-    columns = docs.columns
-    out = scan(docs, text=text, spans="_spans", base="_base")
-    k = columns.index(text)
+    k = docs.columns.index(text)
+    found_in = _finder(docs, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(k).to_pylist()
-            for i, spans in enumerate(batch.column("_spans").to_pylist()):
+        for part, found, _ in found_in(batches):
+            values = part.column(k).to_pylist()
+            for i, spans in enumerate(found):
                 if spans:
                     parts, at = [], 0
-                    for s in spans:
-                        if s["start"] >= at:
-                            parts += [values[i][at : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
-                        at = max(at, s["end"])
+                    for start, kind, end in spans:
+                        if start >= at:
+                            parts += [values[i][at:start], f"[{KINDS[kind].upper()}]"]
+                        at = max(at, end)
                     values[i] = "".join(parts) + values[i][at:]
-            new = pa.array(values, batch.column(k).type)
-            yield pa.RecordBatch.from_arrays([new if n == text else batch.column(n) for n in columns], names=columns)
+            new = pa.array(values, part.column(k).type)
+            yield pa.RecordBatch.from_arrays([new if j == k else c for j, c in enumerate(part.columns)], names=part.schema.names)
 
-    return out.mapInArrow(run, docs.schema)
+    # spans are found and replaced in one pass: two passes in a stage would take a second worker for each task
+    return docs.mapInArrow(lean(run), docs.schema)

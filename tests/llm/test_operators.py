@@ -683,6 +683,37 @@ def test_stored_folder(spark, tmp_path, monkeypatch):
     assert not [x for x in tmp_path.iterdir() if not x.name.endswith(".crc")]
 
 
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="reads /proc")
+def test_worker_gives_memory_back_after_a_task():
+    def own():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"Pss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+    pins = []
+
+    def run(batches):
+        held = []
+        for _ in range(1000):  # small pieces that last keep the C allocator from shrinking by itself
+            held.append(np.ones(60 << 10, np.uint8))
+            pins.append(np.ones(2000, np.uint8))
+        yield from batches
+
+    before = own()
+    assert list(run([1, 2])) == [1, 2]
+    kept = own() - before
+    assert list(shared.lean(run)([1, 2])) == [1, 2]
+    assert kept > 30 and own() - before < 20
+
+
+def test_pipeline_takes_one_worker_a_task(docs, items, tmp_path, spark):
+    import corpus_pipeline as c
+
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for stage in (c.decontaminate, c.private):
+        plan = stage(spark, docs, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+
+
 @needs_data
 def test_queries_registered():
     import __spark_entry__ as e
